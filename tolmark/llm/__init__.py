@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries, in the order of the operators.
-MODULES = ["url_filters"]
+MODULES = ["bpe", "url_filters"]
 
 
 def queries() -> dict:
