@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries, in the order of the operators.
-MODULES = ["near_dup", "chat", "bpe", "decontam", "line_dedup", "url_filters"]
+MODULES = ["near_dup", "token_count", "chat", "bpe", "decontam", "line_dedup", "url_filters", "quality"]
 
 
 def queries() -> dict:
