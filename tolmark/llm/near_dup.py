@@ -10,9 +10,10 @@ components of these links.
 2. In each bucket of a band, every member is paired with the smallest one. Pairs whose sizes or XOR counts rule out
    the similarity go; the count is set so that a true pair is lost with a probability under 1e-9.
 3. The pairs left are confirmed on full sets, built again from whole texts, in a stream that holds one hub's set.
-4. Components of the links. Where a bucket still holds several components, members of different ones are paired too and
-   confirmed; within a component there is nothing more to learn. So every pair that shares a bucket is
-   confirmed, ruled out by its sketch, or already in one group.
+4. Components of the links. Where a bucket still holds several components, its members are compared block against block,
+   by sketch and then on full sets, with only those of other components; within one there is nothing more to learn. So every
+   pair that shares a bucket is confirmed, ruled out by its sketch, or already in one group, and no pair of a
+   group is written down for being in it.
 
 The number of bands is such that a pair at the very threshold shares none with a probability under 1e-7.
 Sets are of 64-bit hashes.
@@ -42,6 +43,8 @@ _U = np.uint64
 SKETCH_WORDS = 8
 #: Members that one task confirms against a copy of their hub.
 AGAINST_ONE = 256
+#: Shingles in a block of a bucket that holds several components.
+BLOCK_ITEMS = 400_000
 
 
 def banding(similarity: float, lost: float = 1e-7) -> tuple[int, int]:
@@ -172,6 +175,67 @@ def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int,
     return cut(ordered.mapInArrow(run, "a long, b long"), "confirmed")
 
 
+def across(rest: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str, words: int, num: int, den: int, limit: int) -> DataFrame:
+    """Links (a, b) between members of different components of a bucket: enough of them to join what they join.
+
+    rest: bucket, rep, component. A bucket is dealt into blocks of about BLOCK_ITEMS shingles; a task holds two of them with their
+    sets, and goes on only with pairs whose components it has not yet found linked. A pair is looked at in the first band that it
+    shares, by size and sketch, then on full sets; links alone leave the task, fewer than its documents.
+    """
+    members = rest.select("rep").distinct()
+    few = members.count() <= BROADCAST_ROWS
+    texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(F.broadcast(members) if few else members, "rep", "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                found = list(_shingles.sets(part.column(1), words))
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rep", "items"])
+
+    whole = cut(texts.mapInArrow(sets, "rep long, items array<long>"), "sets")
+    blocks = rest.join(reps.select("rep", "n"), "rep").groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    placed = rest.join(blocks, "bucket").withColumn("own", F.pmod(F.hash("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("rep", "bucket", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    held = placed.join(reps.select("rep", *_WORDS, "bands"), "rep").join(whole, "rep")
+
+    def task(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        node, own, component = (group[c].to_numpy().copy() for c in ("rep", "own", "component"))
+        sketch = np.stack([group[c].to_numpy() for c in _WORDS], axis=1).view(_U)
+        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        band = int(np.flatnonzero(bands[0] == group["bucket"][0].as_py())[0])
+        lists = group["items"].combine_chunks()
+        begin, size = lists.offsets.to_numpy(), np.diff(lists.offsets.to_numpy())
+        names, items = np.unique(lists.values.to_numpy(), return_inverse=True)
+        marked = np.zeros(len(names), bool)
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        links: list[tuple[int, int]] = []
+        for a in np.flatnonzero(own == low):
+            may = (component != component[a]) & (den * np.minimum(size, size[a]) >= num * np.maximum(size, size[a]))
+            may &= (own == high) if low < high else np.arange(len(node)) > a
+            if band:
+                may &= ~(bands[:, :band] == bands[a, :band]).any(axis=1)
+            some = np.flatnonzero(may)
+            some = some[np.bitwise_count(sketch[some] ^ sketch[a]).sum(axis=1) <= limit]
+            if not len(some):
+                continue
+            mine = items[begin[a] : begin[a + 1]]
+            marked[mine] = True
+            for b in some:
+                if component[b] != component[a]:
+                    common = int(marked[items[begin[b] : begin[b + 1]]].sum())
+                    if den * common >= num * (len(mine) + int(size[b]) - common):
+                        links.append((int(node[a]), int(node[b])))
+                        component[component == component[b]] = component[a]
+            marked[mine] = False
+        return pa.table([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return cut(held.groupBy("bucket", "low", "high").applyInArrow(task, "a long, b long"), "across")
+
+
 def near_groups(df: DataFrame, key: str, text: str, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc, n_shingles, component: a row for each row of df. Similarity is num / den."""
     bands, rows = banding(num / den)
@@ -195,9 +259,8 @@ def near_groups(df: DataFrame, key: str, text: str, words: int = 5, num: int = 8
 
     wide = hits.where("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "hub", F.coalesce("component", "rep").alias("component"))
     mixed = wide.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = cut(wide.join(mixed, "bucket").where("rep <> hub").join(held, "rep"), "rest").drop("hub")
-    across = _named(rest, "a", ("bucket",)).join(_named(rest, "b", ("bucket",)), "bucket").where((F.col("a_component") != F.col("b_component")) & (F.col("a") < F.col("b")) & alike)
-    more = confirmed(cut(across.select("a", "b").distinct(), "across"), df, key, text, words, num, den)
+    rest = cut(wide.join(mixed, "bucket").where("rep <> hub").select("bucket", "rep", "component"), "rest")
+    more = across(rest, reps, df, key, text, words, num, den, sketch_limit(bands * rows, num / den))
     if not more.isEmpty():
         found = components(links.unionByName(more))
     out = nodes.select("doc", "n", "rep").join(found, F.col("rep") == F.col("node"), "left")
