@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register queries, in the order of the operators.
-MODULES = ["near_dup", "token_count", "chat", "top_k", "bpe", "decontam", "line_dedup", "url_filters", "quality"]
+MODULES = ["near_dup", "token_count", "chat", "top_k", "bpe", "language", "decontam", "line_dedup", "url_filters", "quality"]
 
 
 def queries() -> dict:
