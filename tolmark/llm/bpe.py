@@ -21,6 +21,7 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -156,7 +157,7 @@ class TreeBPE:
                 yield from part.split() if not re.search("[\x1c-\x1f]", part) else re.split(r"[\t\n\v\f\r ]+", part)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for c in self._chunks(text or "") for i in ([c] if isinstance(c, int) else self.chunk(c))]
+        return list(map(int, self.both(text)[0].split()))
 
     def decode(self, ids: Sequence[int]) -> str:
         """As the library decodes without a decoder: the tokens' names with a space between."""
@@ -202,7 +203,7 @@ def _mapped(df: DataFrame, key: str, column: str, fields: list[T.StructField], m
 
 def encode(df: DataFrame, key: str, text: str, path: str = VOCABULARY, block: int = BLOCK) -> DataFrame:
     """key, ids (array of int). No shuffle."""
-    return _mapped(df, key, text, [T.StructField("ids", T.ArrayType(T.IntegerType()))], lambda c, v: (c.encode(v),), path, block)
+    return _mapped(df, key, text, [T.StructField("ids", T.ArrayType(T.IntegerType()))], lambda c, v: (np.fromstring(c.both(v)[0], np.int32, sep=" "),), path, block)
 
 
 def decode(df: DataFrame, key: str, ids: str = "ids", path: str = VOCABULARY) -> DataFrame:
