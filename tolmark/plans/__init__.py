@@ -1,9 +1,19 @@
 """Registered queries of the engine."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tolmark.plans import boxes, registry
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.flagship(registry.Source(spark, sf_dir))
