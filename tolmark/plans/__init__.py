@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tolmark.plans import boxes, registry
+from tolmark.plans import boxes, registry, texts  # noqa: F401
 
 
 def queries() -> dict:
