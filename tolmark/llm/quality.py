@@ -176,7 +176,7 @@ def judged(df: DataFrame, key: str, text: str, lang: str, labels: DataFrame, qua
     few = good.count() <= BROADCAST_ROWS
     side = F.broadcast if few else (lambda x: x)
     fit = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(side(good.where("NOT held")), "doc", "left_semi")
-    scored = cut(perplexities(df, key, text, lang, model(counts(fit, "text"))), "scored")
+    scored = cut(perplexities(df, key, text, lang, model(cut(counts(fit, "text"), "counts"))), "scored")
     held = scored.where("perplexity IS NOT NULL").join(side(good.where("held")), "doc", "left_semi")
     at = (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")
     by_lang = held.groupBy("lang").agg(at, F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select(F.col("lang").alias("own"), "threshold")
