@@ -216,3 +216,12 @@ def flagship(s: Source) -> DataFrame:
     kept = suppress.same_kind(s.dets)
     placed = order.reading_order(kept)
     return kept.join(placed, ["page", "ord"]).groupBy("kind").agg(F.count("*").alias("n"), F.sum("pos").alias("positions"), F.count_if(F.col("pos") == 1).alias("firsts"))
+
+
+@query()
+def gold_matching(s: Source) -> DataFrame:
+    """Detections assigned one to one to rectangles; held against a plain loop in the tests."""
+    from tolmark.plans.extract import gold_matches
+
+    value = F.col("ord") % 5
+    return gold_matches(s.dets.withColumn("nominal", value), s.cvb.withColumn("nominal", value))

@@ -138,3 +138,28 @@ def reader_udf(factory: Callable[[], Any], name: str = "read_region") -> Callabl
             yield pd.DataFrame([safe_read(reader, x) for x in s], columns=["text", "confidence"])
 
     return read
+
+
+def whole(image: bytes, box: tuple[int, int, int, int]) -> bytes:
+    """The crop of a provider that cuts for itself."""
+    return image
+
+
+def read_boxes(boxes: DataFrame, factory: Callable[[], Any], crop: Callable[[bytes, tuple[int, int, int, int]], bytes] = whole) -> DataFrame:
+    """boxes: page, ord, kind, x0, y0, x1, y1, image. The same without the image, with text and confidence; geometric frames by their own reader."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = _once(factory)
+        for b in batches:
+            rows = []
+            for image, kind, *box in b[["image", "kind", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None):
+                try:
+                    part = crop(image, tuple(box))
+                except Exception:  # noqa: BLE001  as with a read that fails
+                    rows.append(Read("", 0.0))
+                    continue
+                rows.append(safe_read(capability(provider, "read_region_gdt" if kind == "gdt" else "read_region"), part))
+            yield b.drop(columns="image").assign(text=[r.text for r in rows], confidence=[float(r.confidence) for r in rows])
+
+    own = boxes.select("page", "ord", "kind", "x0", "y0", "x1", "y1", "image")
+    return own.mapInPandas(run, "page long, ord long, kind string, x0 int, y0 int, x1 int, y1 int, text string, confidence double")
