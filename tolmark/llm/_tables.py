@@ -18,7 +18,14 @@ BROADCAST_ROWS = 200_000
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: texts are long, and two workers share an executor's memory.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

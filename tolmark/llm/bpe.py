@@ -34,8 +34,8 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 #: A piece of more characters is encoded as a tree of blocks of at most so many.
 BLOCK = 256
-#: Texts between white space whose tokens a worker remembers; beyond, it forgets them all.
-REMEMBERED = 250_000
+#: Texts between white space, and pieces of them, whose tokens a worker remembers; beyond, it forgets them all.
+REMEMBERED, PIECES = 150_000, 50_000
 
 
 def join_halves(left: list[int], right: list[int], encode: Callable[[str], list[int]], text: Callable[[list[int]], str], window: int = 4) -> list[int]:
@@ -123,7 +123,7 @@ class TreeBPE:
             if len(piece) > self.block:
                 return self.tree(piece)
             found = [t.id for t in self.whole.tokenize(piece)]
-            if len(self.pieces) >= REMEMBERED:
+            if len(self.pieces) >= PIECES:
                 self.pieces.clear()
             self.pieces[piece] = found
         return found

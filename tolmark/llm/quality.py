@@ -20,7 +20,6 @@ Labels with nulls don't make a document trusted. An empty table gives an empty r
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,28 +133,25 @@ def dense(rows: dict[str, np.ndarray]) -> np.ndarray:
         weight = np.ones(1 << (BITS * (n - 1)), np.float32)
         weight[rows["gram"][weighted]] = rows["weight"][weighted]
         lower = p.reshape(-1, SYMBOLS) if n > 1 else np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)
-        p = (weight.reshape(-1, len(lower))[:, :, None] * lower[None]).reshape(-1)
+        blocks = weight.reshape(-1, len(lower))
+        p = np.empty(SYMBOLS**n, np.float32)
+        for out, own_weights in zip(p.reshape(len(blocks), len(lower), SYMBOLS), blocks):
+            np.multiply(own_weights[:, None], lower, out=out)
         p[rows["gram"][seen]] = rows["p"][seen]
     np.log(p, out=p)
     return np.negative(p, out=p)
 
 
-_dense: dict[str, np.ndarray] = {}
-
-
 def perplexities(df: DataFrame, key: str, text: str, lang: str, modelled: DataFrame) -> DataFrame:
     """doc, lang, perplexity (null for an empty text). No shuffle; the model, of at most 64^4 + 64^3 + ... rows, is broadcast."""
     spark = df.sparkSession
     local = modelled.toArrow()
     rows = {"n": local["n"].to_numpy().astype(np.int8), "gram": local["gram"].to_numpy().astype(np.int32)}
     rows |= {k: local[k].to_numpy().astype(np.float32) for k in ("p", "weight")}
-    sent, name = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
+    sent = spark.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _dense:
-            _dense.clear()
-            _dense[name] = dense(sent.value)
-        cost = _dense[name]
+        cost = dense(sent.value)  # 64 MB, for as long as the task runs
         for part, values in _texts(batches, 2):
             found = [float(np.exp(cost[grams(v)].mean(dtype=np.float64))) if v else None for v in values]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64())], names=["doc", "lang", "perplexity"])
