@@ -156,6 +156,10 @@ class TreeBPE:
                 # str.split() also cuts at four control characters that the tokenizer doesn't count as white space
                 yield from part.split() if not re.search("[\x1c-\x1f]", part) else re.split(r"[\t\n\v\f\r ]+", part)
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.pieces.clear()
+
     def encode(self, text: str | None) -> list[int]:
         return list(map(int, self.both(text)[0].split()))
 
@@ -197,6 +201,7 @@ def _mapped(df: DataFrame, key: str, column: str, fields: list[T.StructField], m
                 part = b.slice(s, 256)
                 rows = [made(c, v) for v in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, f.type) for x, f in zip(zip(*rows), list(to)[1:]))], schema=to)
+        c.forget()  # the worker lives on, and later stages need its memory
 
     return slim.mapInArrow(run, schema)
 
