@@ -67,3 +67,19 @@ def test_rows(spark):
     none = Q.judged(docs, "doc_id", "text", "lang", labels.limit(0)).collect()
     assert len(none) == len(rows) and all(x.kept for x in none)
     assert Q.judged(docs.limit(0), "doc_id", "text", "lang", labels).count() == 0
+
+
+def test_rare_languages(spark):
+    """A language with few trusted documents has its own threshold; one with none is kept."""
+    r = random.Random(5)
+    text = lambda words: " ".join(r.choice(words) for _ in range(60)) + "."
+    large, rare, none = ["the", "rain", "in", "spain", "falls"], ["qyx", "wvuk", "zzob", "pjim", "xokk", "vuq"], ["ьжщ", "фыэ", "юяъ"]
+    rows = [(k, text(large), "en") for k in range(300)]
+    rows += [(1000 + k, text(rare), "rr") for k in range(60)]
+    rows += [(2000 + k, text(none), "nn") for k in range(20)] + [(3000 + k, "".join(r.choice("#$%&*ZQX!9") for _ in range(300)), "rr") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in [*range(200), *range(1000, 1016)]], "doc_id long, quality int, toxic int")
+    got = Q.judged(docs, "doc_id", "text", "lang", labels).collect()
+    assert len(got) == len(rows)
+    assert {x.doc for x in got if not x.kept} == set(range(3000, 3005))
+    assert all(x.threshold is None for x in got if x.lang == "nn")

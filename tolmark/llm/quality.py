@@ -10,8 +10,8 @@ bound under which it may be broadcast.
 2. Continuation counts, discounts, back-off weights and probabilities of the four orders are aggregations and joins on n-gram, context
    and suffix, sharded by these keys; no context has more than 64 continuations.
 3. Every document's perplexity (by symbol) comes from a pass without shuffle over its whole text.
-4. A language's threshold is MARGIN times the QUANTILE of its left-out trusted documents' perplexities; a language with fewer
-   than ENOUGH of them takes that of all languages together. A document above its threshold is rejected.
+4. A language's threshold is MARGIN times the QUANTILE of its own left-out trusted documents' perplexities, however few they are.
+   A document above its threshold is rejected; those of a language without a left-out trusted document are kept.
 
 Defined results: null and empty texts have no perplexity and are kept, as is every document if nothing is trusted.
 Null lang is a language of its own. Rows without doc_id are judged, never trusted. Rows that repeat a doc_id count once for each row.
@@ -31,7 +31,7 @@ from tolmark.llm._tables import BROADCAST_ROWS, cut, table
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
-CALIBRATION, QUANTILE, MARGIN, ENOUGH = 4, 0.95, 1.5, 30
+CALIBRATION, QUANTILE, MARGIN, ENOUGH = 4, 0.95, 1.5, 1
 
 
 def symbols() -> np.ndarray:
@@ -176,10 +176,8 @@ def judged(df: DataFrame, key: str, text: str, lang: str, labels: DataFrame, qua
     held = scored.where("perplexity IS NOT NULL").join(side(good.where("held")), "doc", "left_semi")
     at = (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")
     by_lang = held.groupBy("lang").agg(at, F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select(F.col("lang").alias("own"), "threshold")
-    of_all = held.agg(at.alias("any"))
-    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("own")), "left").crossJoin(F.broadcast(of_all))  # one row
-    threshold = F.coalesce("threshold", "any")
-    return out.select("doc", "lang", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("kept"))
+    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("own")), "left")
+    return out.select("doc", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
