@@ -1,3 +1,4 @@
+import copy
 import hashlib
 import random
 
@@ -7,6 +8,15 @@ from tokenizers import Tokenizer
 from tolmark.llm import bpe
 
 LIBRARY = Tokenizer.from_file(bpe.VOCABULARY)
+BASE = bpe.TreeBPE()
+
+
+def coder(block=None):
+    """As TreeBPE(block=block), without reading the file again."""
+    c = copy.copy(BASE)
+    c.block, c.piece_block = block or bpe.BLOCK, block or bpe.PIECE_BLOCK
+    c.forget()
+    return c
 
 
 def expected(text):
@@ -24,7 +34,7 @@ def texts():
 
 
 def test_tree_equals_library():
-    c = bpe.TreeBPE(block=32)
+    c = coder(block=32)
     for t in texts():
         assert c.encode(t) == expected(t), t[:60]
         ids, decoded, n = c.both(t)
@@ -36,10 +46,59 @@ def test_tree_equals_library():
 def test_joins_anywhere(seed):
     r = random.Random(seed)
     piece = "".join(r.choice(["the", "ing", "er", "a", "z", "tion", "q"]) for _ in range(200))
-    c = bpe.TreeBPE(block=r.randint(2, 40))
+    c = coder(block=r.randint(2, 40))
     assert c.tree(piece) == expected(piece)
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_text_joins_anywhere(seed):
+    r = random.Random(seed)
+    parts = ["the", "'", "'s", "'ll", "l", "ve", " ", "\n", "\u00a0", "É", "ß", "7", "!?", "don't", "ing", "x" * 40, "字字字", "Ж", "\0", "\0\0", "☃", "e\u0301", "Σ", "\x1d", "<|endoftext|>", "<|"]
+    c = coder(block=r.randint(1, 24))
+    for n in (5, 40, 400):
+        text = "".join(r.choice(parts) for _ in range(n))
+        assert c.encode(text) == expected(text)
+        plain = "".join(r.choice(parts[:15]) for _ in range(n))  # the known alphabet, hence one tree
+        assert c.encode(plain) == expected(plain)
+
+
+def test_long_unsplit_texts(monkeypatch):
+    r = random.Random(5)
+    c = coder()
+    joins = []
+    own = bpe.join_halves
+    monkeypatch.setattr(bpe, "join_halves", lambda *a: joins.append(1) or own(*a))
+    for text in ("".join(r.choice("etaoinshr") for _ in range(60_000)), "é" * 9000, "漢字かな" * 3000, "?!" * 8000):
+        assert c.encode(text) == expected(text)
+        assert joins
+        joins.clear()
+
+
+def test_segments(monkeypatch):
+    monkeypatch.setattr(bpe, "SEGMENT", 50)
+    c, r = coder(block=16), random.Random(9)
+    for n in (10, 80, 500):
+        text = "".join(r.choice(["word ", "it's", "\n", "é", "☃ ", "y" * 30, " "]) for _ in range(n))
+        assert c.encode(text) == expected(text)
+
+
+def test_data_goes_through_the_tree(spark):
+    """Texts of more than a block, as nearly all documents are, are joined from halves."""
+    c, joins = coder(), []
+    text = "the thing is that it isn't unsplit, Straße 7. " * 200
+    own = bpe.join_pieces
+    bpe.join_pieces = lambda *a: joins.append(1) or own(*a)
+    try:
+        assert c.encode(text) == expected(text) and len(joins) == -(-len(text) // bpe.BLOCK) - 1
+    finally:
+        bpe.join_pieces = own
+
+
+def test_other_files_are_refused():
+    with pytest.raises(ValueError):
+        bpe.TreeBPE(bpe.public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_query_columns(spark):
     rows = [(1, "Hello there"), (2, None), (2, None), (None, "x"), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", bpe.F.lit("clash")).withColumn("key", bpe.F.lit(1)).withColumn("value", bpe.F.lit(2))
