@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_line_dedup import expected as lines_by_hand
 from test_near_dup import expected as groups_by_hand
-from test_quality import brute
+from test_quality import brute, grams, limits
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -35,27 +35,20 @@ def test_columns_and_order(steps):
 def test_quality(spark, steps):
     before, after = steps[0][:2]
     good = {x.doc: x.held for x in quality.trusted(table(spark, SF, "labels")).withColumn("held", quality.F.pmod(quality.F.xxhash64("doc"), quality.F.lit(4)) == 0).collect()}
-    p = brute([x.text for x in before if good.get(x.doc_id) is False])
+    p = brute([x.text for x in before if x.text and good.get(x.doc_id) is False])
     known = {}
 
-    def perplexity(text):
-        s = [0, 0, 0, *quality._SYMBOL[list(text.encode())].tolist()]
-        grams = [tuple(s[k : k + 4]) for k in range(len(s) - 3)]
-        for g in grams:
+    def cost(text):
+        for g in set(grams(text)):
             if g not in known:
-                known[g] = np.log(p(g))
-        return float(np.exp(-np.mean([known[g] for g in grams])))
-
-    found = {x.doc_id: perplexity(x.text) for x in before if x.text}
-    held = {}
-    for x in before:
-        if good.get(x.doc_id):
-            held.setdefault(x.lang, []).append(found[x.doc_id])
-    of = lambda v: sorted(v)[int(np.ceil(quality.QUANTILE * len(v))) - 1] * quality.MARGIN
-    every = of([y for v in held.values() for y in v])
-    limit = {k: of(v) for k, v in held.items() if len(v) >= quality.ENOUGH}
-    want = {d for d, y in found.items() if y <= limit.get(next(x.lang for x in before if x.doc_id == d), every)}
+                known[g] = -np.log(p(g))
+        return sum(known[g] for g in grams(text))
+
+    found = [(x, cost(x.text), len(x.text)) for x in before if x.text]
+    limit = limits([(x.lang, c, n) for x, c, n in found if good.get(x.doc_id)])
+    want = {x.doc_id for x, c, n in found if x.lang not in limit or (c + quality.PRIOR * limit[x.lang][0]) / (n + quality.PRIOR) <= limit[x.lang][1] + 1e-6}
     assert {x.doc_id for x in after} == want | {x.doc_id for x in before if not x.text}
+    assert len(after) < len(before)
 
 
 def test_lines(steps):

@@ -1,163 +1,209 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over character classes: 64 symbols (folded from the text's bytes by the rule in symbols(), which tells
-letters, capitals, digits, each common sign, white space and groups of other bytes apart), order 4, three begin symbols before each text. So an
-n-gram is a 24-bit number, and the model has at most 64^4 entries however large the corpus: that is the proven
-bound under which it may be broadcast.
-
-1. Trusted documents (labelled quality 1 and not toxic, in every label they have) are counted whole, partition by partition,
-   and the counts summed by n-gram. One in CALIBRATION of them, by a hash of doc_id, is left out of the counts.
-2. Continuation counts, discounts, back-off weights and probabilities of the four orders are aggregations and joins on n-gram, context
-   and suffix, sharded by these keys; no context has more than 64 continuations.
-3. Every document's perplexity (by symbol) comes from a pass without shuffle over its whole text.
-4. A language's threshold is MARGIN times the QUANTILE of its own left-out trusted documents' perplexities, however few they are.
-   A document above its threshold is rejected; those of a language without a left-out trusted document are kept.
-
-Defined results: null and empty texts have no perplexity and are kept, as is every document if nothing is trusted.
-Null lang is a language of its own. Rows without doc_id are judged, never trusted. Rows that repeat a doc_id count once for each row.
-Labels with nulls don't make a document trusted. An empty table gives an empty result. Other columns are not read.
+The model is over n-grams of up to ORDER code points, each text being preceded by ORDER - 1 begin symbols. Nothing bounds its
+size: counts, contexts and scores are tables that grow with the corpus and are joined by n-gram, sharded.
+
+1. One pass packs the documents into blocks of about BLOCK characters (a longer text goes over several, with its context) and lists
+   each block's distinct n-grams, with how often they occur in trusted documents (labelled quality 1 and not toxic, in every
+   label they have). One trusted document in CALIBRATION, by a hash of doc_id, is left out of the counts.
+2. The counts are summed by n-gram; continuation counts, discounts and back-off weights of the lower orders are aggregations of them.
+3. The distinct n-grams of all blocks get their probabilities by joins with counts, contexts and shorter n-grams, from order 1 up.
+4. The scores go back to the blocks, joined by n-gram: a common one is asked for once by each block, so no key is hot. A task
+   holds one block and its scores, and gives the documents' sums, which are added up by document.
+5. A document's score is its log perplexity as if PRIOR more symbols had scored like the average left-out trusted symbol of its
+   language, since a text of a few words says little. A language's threshold is the QUANTILE of its trusted scores: that of a normal
+   distribution with the mean and variance of its left-out scores, where the variance counts POOL more documents with the pooled variance
+   of all languages, and sqrt(1 + 1 / n) allows for the mean of n documents being an estimate. Plain order statistics of a
+   handful of documents can't show a far quantile; this rule is the same for any number of them. A document above the threshold is
+   rejected; those of a language without a left-out trusted document are kept.
+
+Discounts outside [LEAST, k] are set to the nearer end, so that every back-off weight is positive and so is every
+probability; a discount whose counts of counts are missing is k / 2. Unknown code points share the probability of one more symbol.
+
+Defined results: null and empty texts have no perplexity and are kept, as is every document if nothing is trusted (its perplexity
+is then 1). NUL counts as U+FFFD. Null lang is a language of its own. Rows without doc_id are judged, never trusted. Rows that
+repeat a doc_id are judged one by one, and count once for each row. Very long texts are scored whole. Labels with nulls don't make a document trusted.
+Equal scores are judged alike: a score equal to the threshold is kept. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tolmark.llm._shingles import mix
 from tolmark.llm._tables import BROADCAST_ROWS, cut, table
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-CALIBRATION, QUANTILE, MARGIN, ENOUGH = 4, 0.95, 1.5, 1
-
-
-def symbols() -> np.ndarray:
-    """The symbol of each byte; 0 is the begin of a text."""
-    groups = [*(chr(c) for c in range(97, 123)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",", "'", '"', "-", "!", "?", ":;", "()[]{}", "|", "#", "$%", "&", "*", "/\\", "=+<>", "@", "_~^`"]
-    out = np.zeros(256, np.int64)
-    for k, group in enumerate(groups):
-        out[list(group.encode())] = k + 1
-    lead = len(groups) + 1
-    for low, high in ((0xC0, 0xC4), (0xC4, 0xE0), (0xE0, 0xF0), (0xF0, 0x100)):
-        out[low:high] = lead
-        lead += 1
-    out[0x80:0xC0] = lead + np.arange(64) % (SYMBOLS - lead)
-    return out
-
-
-_SYMBOL = symbols()
-
-
-def grams(text: bytes) -> np.ndarray:
-    """The n-gram that ends at each byte."""
-    s = np.zeros(len(text) + ORDER - 1, np.int64)
-    s[ORDER - 1 :] = _SYMBOL[np.frombuffer(text, np.uint8)]
-    out = np.zeros(len(text), np.int64)
-    for k in range(ORDER):
-        out = (out << BITS) | s[k : k + len(text)]
-    return out
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for b in batches:
-        for s in range(0, b.num_rows, 512):
-            part = b.slice(s, 512)
-            yield part, part.column(column).to_pylist()
-
-
-def counts(texts: DataFrame, text: str) -> DataFrame:
-    """gram, c: how often each n-gram of the highest order occurs."""
+ORDER = 5
+CALIBRATION, QUANTILE, PRIOR, POOL, LEAST = 4, 0.999, 200, 30, 0.1
+#: Characters of a block; characters that are hashed at once.
+BLOCK, AT_ONCE = 1 << 23, 1 << 20
+BEGIN = "\0"
+
+_U = np.uint64
+_TIMES = np.random.default_rng(31).integers(0, 1 << 63, ORDER, dtype=_U) * _U(2) + _U(1)
+
+
+def coded(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, as rows of code points, and the number of the n-gram at each position of the parts in turn. Each part
+    that isn't empty starts with ORDER - 1 characters of context. The same parts always give the same numbers."""
+    hashes, windows, codes, at = [], [], [], 0
+    while at < len(parts):
+        to, size = at, 0
+        while to < len(parts) and (to == at or size + len(parts[to]) <= AT_ONCE):
+            size += len(parts[to])
+            to += 1
+        own = [p for p in parts[at:to] if p]
+        at = to
+        if not own:
+            continue
+        points = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32)
+        mixed = mix(points.astype(_U) + _U(77))
+        n = len(points) - ORDER + 1
+        with np.errstate(over="ignore"):
+            hashed = sum((mixed[k : n + k] * _TIMES[k] for k in range(1, ORDER)), mixed[:n] * _TIMES[0])
+        inner = np.ones(n, bool)
+        ends = np.cumsum([len(p) for p in own])[:-1]
+        inner[(ends[:, None] - np.arange(1, ORDER)).ravel()] = False
+        places = np.flatnonzero(inner)
+        found = pa.array(hashed[places]).dictionary_encode()
+        code = found.indices.to_numpy()
+        first = np.empty(len(found.dictionary), np.int64)
+        first[code[::-1]] = places[::-1]
+        hashes.append(found.dictionary.to_numpy())
+        windows.append(points[first[:, None] + np.arange(ORDER)])
+        codes.append(code)
+    if not codes:
+        return np.empty((0, ORDER), np.uint32), np.empty(0, np.int64)
+    _, first, number = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    offsets = np.cumsum([0, *map(len, hashes)])
+    return np.concatenate(windows)[first], np.concatenate([number[o + c] for o, c in zip(offsets, codes)])
+
+
+def blocks(df: DataFrame, block: int | None = None) -> DataFrame:
+    """df: doc, lang, fit (boolean), text. One row for each block: block, row, doc, lang, size (of each part, in characters), texts (the
+    parts, compressed), grams (the block's distinct n-grams, in the order of coded()), fitted (how often each occurs in fit documents)."""
+    schema = "block long, row array<long>, doc array<long>, lang array<string>, size array<int>, texts binary, grams array<string>, fitted array<int>"
+    block = block or BLOCK
+
+    def packed(number: int, held: list[tuple]) -> pa.RecordBatch:
+        row, doc, lang, fit, parts = map(list, zip(*held))
+        windows, codes = coded(parts)
+        joined = windows.astype("<u4").tobytes().decode("utf-32-le")
+        grams = [joined[k : k + ORDER] for k in range(0, len(joined), ORDER)]
+        marked = np.repeat(fit, [max(len(p) - ORDER + 1, 0) for p in parts])
+        fitted = np.bincount(codes[marked.astype(bool)], minlength=len(grams))
+        texts = pa.compress("".join(parts).encode(), "zstd", asbytes=True)
+        values = [number, row, doc, lang, [len(p) for p in parts], texts, grams, fitted.astype(np.int32)]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["block", "row", "doc", "lang", "size", "texts", "grams", "fitted"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for _, values in _texts(batches, 0):
-            for value in values:
-                if value:
-                    total = np.zeros(1 << (BITS * ORDER), np.int32) if total is None else total
-                    found, n = np.unique(grams(value), return_counts=True)
-                    total[found] += n.astype(np.int32)
-        if total is not None:
-            found = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found].astype(np.int64))], names=["gram", "c"])
-
-    part = texts.select(F.encode(F.col(text), "utf-8").alias("text")).mapInArrow(run, "gram long, c long")
-    return part.groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-def _discounts(table: DataFrame) -> DataFrame:
-    """One row: d1, d2, d3 of modified Kneser-Ney, kept within [0, 1], [0, 2], [0, 3] and at 0.5, 1, 1.5 where a count of counts is missing."""
-    n = table.agg(*(F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)))
+        number = rows = TaskContext.get().partitionId() << 40
+        held, size = [], 0
+        for b in batches:
+            for s in range(0, b.num_rows, 256):
+                for doc, lang, fit, text in zip(*(c.to_pylist() for c in b.slice(s, 256).columns)):
+                    whole = BEGIN * (ORDER - 1) + text.replace(BEGIN, "�") if text else ""
+                    for a in range(0, max(len(whole) - ORDER + 1, 1), AT_ONCE):
+                        part = whole[a : a + AT_ONCE + ORDER - 1]
+                        held.append((rows, doc, lang, bool(fit), part))
+                        size += len(part) + 16  # empty texts take room too
+                        if size >= block:
+                            yield packed(number, held)
+                            number, held, size = number + 1, [], 0
+                    rows += 1
+        if held:
+            yield packed(number, held)
+
+    return df.select("doc", "lang", "fit", "text").mapInArrow(run, schema)
+
+
+def counts(packed: DataFrame) -> DataFrame:
+    """gram, c: how often each n-gram of the highest order occurs in fit documents."""
+    each = packed.select(F.explode(F.arrays_zip("grams", "fitted")).alias("x")).select(F.col("x.grams").alias("gram"), F.col("x.fitted").alias("c"))
+    return each.where("c > 0").groupBy("gram").agg(F.sum("c").alias("c"))
+
+
+def _discounts(counted: DataFrame) -> DataFrame:
+    """One row: d1, d2, d3 of modified Kneser-Ney."""
+    n = counted.agg(*(F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)))
     y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
     made = []
     for k in (1, 2, 3):
         d = k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.nullif(F.col(f"n{k}"), F.lit(0.0)))
-        made.append(F.when(d.isNull(), k / 2).otherwise(F.least(F.greatest(d, F.lit(0.0)), F.lit(float(k)))).alias(f"d{k}"))
+        made.append(F.when(d.isNull(), k / 2).otherwise(F.least(F.greatest(d, F.lit(LEAST)), F.lit(float(k)))).alias(f"d{k}"))
     return n.select(*made)
 
 
-def model(counted: DataFrame) -> DataFrame:
-    """n (order), gram, p (interpolated probability of its last symbol after the others) and back-off weights as rows with gram the context and p null."""
-    orders = {ORDER: counted}
-    for n in range(ORDER - 1, 0, -1):  # continuation counts: how many symbols come before
-        orders[n] = orders[n + 1].groupBy(F.col("gram").bitwiseAND((1 << (BITS * n)) - 1).alias("gram")).agg(F.count("*").alias("c"))
-    below, out = None, []
-    for n in range(1, ORDER + 1):
-        own = orders[n].withColumn("context", F.shiftright("gram", BITS))
-        d = F.broadcast(_discounts(orders[n]))  # one row
+def model(counted: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """For each order: gram, c, less (its discount); and context, total, weight (of what is left to the order below)."""
+    out = {}
+    for n in range(ORDER, 0, -1):
+        if n < ORDER:  # continuation counts: how many symbols come before
+            counted = counted.groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c"))
+        counted = cut(counted, f"counts{n}")
         less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        own = own.crossJoin(d).withColumn("less", less).drop("d1", "d2", "d3")
-        weights = own.groupBy("context").agg(F.sum("c").alias("total"), F.sum("less").alias("taken")).select("context", "total", (F.col("taken") / F.col("total")).alias("weight"))
-        joined = own.join(weights, "context")
-        if below is None:
-            lower = F.lit(1.0 / SYMBOLS)
-        else:
-            joined = joined.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), F.col("gram").bitwiseAND((1 << (BITS * (n - 1))) - 1) == F.col("suffix"))
-            lower = F.col("lower")
-        below = cut(joined.select("gram", ((F.col("c") - F.col("less")) / F.col("total") + F.col("weight") * lower).alias("p")), f"order{n}")
-        out += [below.select(F.lit(n).alias("n"), "gram", "p", F.lit(None).cast("double").alias("weight")), weights.select(F.lit(n).alias("n"), F.col("context").alias("gram"), F.lit(None).cast("double").alias("p"), "weight")]
-    together = out[0]
-    for more in out[1:]:
-        together = together.unionByName(more)
-    return cut(together, "model")
-
-
-def dense(rows: dict[str, np.ndarray]) -> np.ndarray:
-    """-log p of all 64^4 n-grams, from the rows of model(): what was not seen backs off."""
-    p = np.full(1, 1.0 / SYMBOLS, np.float32)
+        own = counted.crossJoin(F.broadcast(_discounts(counted))).select("gram", "c", less.alias("less"))  # one row
+        sums = own.groupBy(F.substring("gram", 1, n - 1).alias("context")).agg(F.sum("c").alias("total"), F.sum("less").alias("taken"))
+        out[n] = own, sums.select("context", "total", (F.col("taken") / F.col("total")).alias("weight"))
+    return out
+
+
+def scores(asked: DataFrame, orders: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """gram, p: the probability of each asked n-gram's last symbol after the others. asked: gram, distinct."""
+    below = None
     for n in range(1, ORDER + 1):
-        own = rows["n"] == n
-        seen, weighted = own & ~np.isnan(rows["p"]), own & ~np.isnan(rows["weight"])
-        weight = np.ones(1 << (BITS * (n - 1)), np.float32)
-        weight[rows["gram"][weighted]] = rows["weight"][weighted]
-        lower = p.reshape(-1, SYMBOLS) if n > 1 else np.full((1, SYMBOLS), 1.0 / SYMBOLS, np.float32)
-        blocks = weight.reshape(-1, len(lower))
-        p = np.empty(SYMBOLS**n, np.float32)
-        for out, own_weights in zip(p.reshape(len(blocks), len(lower), SYMBOLS), blocks):
-            np.multiply(own_weights[:, None], lower, out=out)
-        p[rows["gram"][seen]] = rows["p"][seen]
-    np.log(p, out=p)
-    return np.negative(p, out=p)
-
-
-def perplexities(df: DataFrame, key: str, text: str, lang: str, modelled: DataFrame) -> DataFrame:
-    """doc, lang, perplexity (null for an empty text). No shuffle; the model, of at most 64^4 + 64^3 + ... rows, is broadcast."""
-    spark = df.sparkSession
-    local = modelled.toArrow()
-    rows = {"n": local["n"].to_numpy().astype(np.int8), "gram": local["gram"].to_numpy().astype(np.int32)}
-    rows |= {k: local[k].to_numpy().astype(np.float32) for k in ("p", "weight")}
-    sent = spark.sparkContext.broadcast(rows)
+        own, contexts = orders[n]
+        grams = asked if n == ORDER else asked.select(F.substring("gram", ORDER - n + 1, n).alias("gram")).distinct()
+        joined = grams.join(own, "gram", "left").withColumn("context", F.substring("gram", 1, n - 1))
+        if below is None:  # the one context of order 1 is empty
+            symbols = F.broadcast(own.agg((F.count("*") + 1).alias("symbols")))
+            joined = joined.join(F.broadcast(contexts), "context", "left").crossJoin(symbols).withColumn("lower", 1.0 / F.col("symbols"))
+        else:
+            joined = joined.join(contexts, "context", "left").withColumn("suffix", F.substring("gram", 2, n - 1))
+            joined = joined.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
+        seen = F.coalesce((F.col("c") - F.col("less")) / F.col("total"), F.lit(0.0))
+        below = cut(joined.select("gram", (seen + F.coalesce("weight", F.lit(1.0)) * F.col("lower")).alias("p")), f"scores{n}")
+    return below
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cost = dense(sent.value)  # 64 MB, for as long as the task runs
-        for part, values in _texts(batches, 2):
-            found = [float(np.exp(cost[grams(v)].mean(dtype=np.float64))) if v else None for v in values]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64())], names=["doc", "lang", "perplexity"])
 
-    slim = df.select(F.col(key).cast("long").alias("doc"), F.col(lang).cast("string").alias("lang"), F.encode(F.col(text), "utf-8").alias("text"))
-    return slim.mapInArrow(run, "doc long, lang string, perplexity double")
+def sums(packed: DataFrame, scored: DataFrame) -> DataFrame:
+    """doc, lang, cost (the sum of -log p over the text), n (symbols): a row for each row that was packed."""
+    asked = packed.select(F.col("block").alias("home"), F.posexplode("grams").alias("k", "gram"))
+    found = asked.join(scored, "gram").select("home", "k", F.col("p").cast("float").alias("p"))
+
+    def task(texts: pa.Table, own: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        p = np.empty(own.num_rows, np.float32)
+        p[own["k"].to_numpy()] = own["p"].to_numpy()
+        cost = -np.log(p.astype(np.float64))
+        for x in texts.select(["row", "doc", "lang", "size", "texts"]).to_pylist():
+            joined, parts, at = pa.decompress(x["texts"], _plain_size(x["texts"]), "zstd", asbytes=True).decode(), [], 0
+            for size in x["size"]:
+                parts.append(joined[at : at + size])
+                at += size
+            n = np.maximum(np.array(x["size"], np.int64) - ORDER + 1, 0)
+            ends = np.cumsum(n)
+            total = np.concatenate([[0.0], np.cumsum(cost[coded(parts)[1]])])
+            out += zip(x["row"], x["doc"], x["lang"], (total[ends] - total[ends - n]).tolist(), n.tolist())
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.int64()]
+        return pa.table([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["row", "doc", "lang", "cost", "n"])
+
+    by_part = packed.select("block", "row", "doc", "lang", "size", "texts").groupBy("block").cogroup(found.groupBy("home")).applyInArrow(task, "row long, doc long, lang string, cost double, n long")
+    return by_part.groupBy("row").agg(F.first("doc").alias("doc"), F.first("lang").alias("lang"), F.sum("cost").alias("cost"), F.sum("n").alias("n")).drop("row")
+
+
+def _plain_size(packed: bytes) -> int:
+    import zstandard
+
+    return zstandard.frame_content_size(packed)
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -166,23 +212,35 @@ def trusted(labels: DataFrame) -> DataFrame:
     return good.where("doc IS NOT NULL AND quality = 1 AND toxic = 0").select("doc")
 
 
-def judged(df: DataFrame, key: str, text: str, lang: str, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """doc, lang, perplexity, threshold, kept: a row for each row of df."""
+def judged(df: DataFrame, key: str, text: str, lang: str, labels: DataFrame, quantile: float = QUANTILE, prior: int = PRIOR) -> DataFrame:
+    """doc, lang, perplexity, score, threshold (both by symbol, as perplexities), kept: a row for each row of df."""
     good = cut(trusted(labels).withColumn("held", F.pmod(F.xxhash64("doc"), F.lit(CALIBRATION)) == 0), "trusted")
-    few = good.count() <= BROADCAST_ROWS
-    side = F.broadcast if few else (lambda x: x)
-    fit = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).join(side(good.where("NOT held")), "doc", "left_semi")
-    scored = cut(perplexities(df, key, text, lang, model(cut(counts(fit, "text"), "counts"))), "scored")
-    held = scored.where("perplexity IS NOT NULL").join(side(good.where("held")), "doc", "left_semi")
-    at = (F.percentile_approx("perplexity", quantile, 10_000) * margin).alias("threshold")
-    by_lang = held.groupBy("lang").agg(at, F.count("*").alias("n")).where(F.col("n") >= ENOUGH).select(F.col("lang").alias("own"), "threshold")
-    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("own")), "left")
-    return out.select("doc", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    side = F.broadcast if good.count() <= BROADCAST_ROWS else (lambda x: x)
+    slim = df.select(F.col(key).cast("long").alias("doc"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
+    marked = slim.join(side(good), "doc", "left").select("doc", "lang", (~F.col("held")).alias("fit"), "text")
+    packed = cut(blocks(marked), "blocks")
+    asked = cut(packed.select(F.explode("grams").alias("gram")).distinct(), "asked")
+    scored = cut(sums(packed, scores(asked, model(counts(packed)))), "scored")
+
+    held = scored.where("n > 0").join(side(good.where("held")), "doc", "left_semi").withColumn("own", F.col("lang"))
+    usual = held.groupBy("own").agg((F.sum("cost") / F.sum("n")).alias("usual"))
+    score = ((F.col("cost") + prior * F.col("usual")) / (F.col("n") + prior)).alias("score")
+    held = held.drop("lang").join(usual.withColumnRenamed("own", "lang"), F.col("own").eqNullSafe(F.col("lang"))).select("own", "usual", score)
+    held = cut(held, "held")
+    by_lang = held.groupBy("own").agg(F.first("usual").alias("usual"), F.avg("score").alias("mean"), F.count("*").alias("of"), F.var_pop("score").alias("var"))
+    pooled = by_lang.agg((F.sum(F.col("var") * F.col("of")) / F.sum("of")).alias("pooled"))  # one row
+    sd = F.sqrt((F.col("of") * F.col("var") + POOL * F.col("pooled")) / (F.col("of") + POOL) * (1 + 1 / F.col("of")))
+    at = F.col("mean") + NormalDist().inv_cdf(quantile) * sd
+    by_lang = cut(by_lang.crossJoin(F.broadcast(pooled)).select("own", "usual", at.alias("threshold")), "thresholds")
+    side = F.broadcast if by_lang.count() <= BROADCAST_ROWS else (lambda x: x)
+    out = scored.join(side(by_lang), F.col("lang").eqNullSafe(F.col("own")), "left").select("doc", "lang", "cost", "n", score, "threshold")
+    some = F.col("n") > 0
+    return out.select("doc", "lang", F.when(some, F.exp(F.col("cost") / F.col("n"))).alias("perplexity"), F.when(some, F.exp("score")).alias("score"), F.exp("threshold").alias("threshold"), F.coalesce((F.col("score") <= F.col("threshold")) | ~some, F.lit(True)).alias("kept"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = judged(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", table(spark, sf_dir, "labels"))
-    return found.select(F.col("doc").alias("doc_id"), F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+    return found.select(F.col("doc").alias("doc_id"), F.round("perplexity", 6).alias("perplexity"), F.round("score", 6).alias("score"), F.round("threshold", 6).alias("threshold"), "kept")
 
 
 QUERIES = {"op10_quality": op10_quality}
