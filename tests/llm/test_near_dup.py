@@ -74,3 +74,48 @@ def test_sketch_estimates_and_bands():
         far = np.array([h.samples(r.integers(0, 1 << 63, 500, dtype=np.uint64)) for _ in range(2)])
         passed += sum(int(x).bit_count() for x in (h.sketch(far)[0] ^ h.sketch(far)[1]).view(np.uint64)) <= N.sketch_limit(h.bands * h.rows, 0.85)
     assert lost == 0 and passed == 0
+
+
+def test_long_words_of_two_letters(spark):
+    """Words over which polynomial hashes modulo 2^64 agree for every base: complementary Thue-Morse words."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)]
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, 85, 100).collect()
+    assert sorted((x.doc, x.component) for x in got) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_word_hashes_tell_words_apart():
+    import itertools
+
+    import pyarrow as pa
+
+    words = ["".join(w) for n in range(1, 8) for w in itertools.product("abé", repeat=n)] + ["a" * n for n in range(8, 300)]
+    found = [s.tolist() for s in N._shingles.sets(pa.array(words), 3)]
+    assert all(len(s) == 1 for s in found) and len({s[0] for s in found}) == len(words)
+
+
+def test_hot_groups(spark, monkeypatch):
+    """The joins of large tables, in which hot groups are broadcast and the others dealt by key."""
+    from tolmark.llm import _components, _tables
+
+    monkeypatch.setattr(_tables, "HOT", 6)
+    for module in (_tables, N):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 20)
+    r = random.Random(12)
+    rows = list(enumerate(texts(r))) + [(2000 + k, "a group of exact copies, with more words") for k in range(60)] + [(2001, None), (None, "one")]
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, 85, 100).collect()
+    assert sorted(((x.doc, x.n_shingles, x.component) for x in got), key=str) == expected(rows, 3, 85, 100)
+    links = [(0, k) for k in range(1, 40)] + [(k, k + 100) for k in range(30)] + [(200, 201)]
+    found = {x.node: x.component for x in _components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {k: 0 for k in [*range(1, 40), *range(100, 130)]} | {201: 200}
+
+
+def test_repeated_id_with_other_text(spark):
+    """Both texts of an id link it."""
+    words = [f"w{k}" for k in range(100)]
+    one, two = " ".join(words), " ".join(w + "x" for w in words)
+    rows = [(1, one), (1, two), (2, one + " more"), (3, two + " more"), (4, "alone here"), (5, "same again"), (6, "same again"), (6, "and this"), (7, "and this"), (8, "and this"), (8, None)]
+    got = N.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 3, 85, 100).collect()
+    assert sorted((x.doc, x.component) for x in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (6, 5), (6, 5), (7, 5), (8, 5), (8, 5)]

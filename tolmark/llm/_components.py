@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tolmark.llm._tables import cut
+from tolmark.llm._tables import attach, cut
 
 
-def _stars(e: DataFrame) -> DataFrame:
-    """One large and one small star. e: u, v with v < u, distinct."""
+def _stars(e: DataFrame, total: int) -> DataFrame:
+    """One large and one small star. e: u, v with v < u, distinct; total rows. A node with many links is a hot group."""
     both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(e.select(F.col("v").alias("x"), F.col("u").alias("y")))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-    large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-    parent = large.groupBy("u").agg(F.min("v").alias("m"))
-    moved = large.join(parent, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("size")).select("x", F.least("x", "m").alias("m"), "size")
+    large = attach(both, least, ["x"], "size", 2 * total).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+    large = cut(large, "large")
+    parent = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size"))
+    moved = attach(large, parent, ["u"], "size", 2 * total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(parent.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -35,4 +36,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if seen and e.groupBy("u").count().where("count > 1").isEmpty() and e.join(e.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = tuple(now)
-        e = cut(_stars(e), "stars")
+        e = cut(_stars(e, now.n), "stars")

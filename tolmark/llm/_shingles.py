@@ -1,7 +1,9 @@
 """Words and word shingles of many texts at once, as 64-bit hashes.
 
-A word is a run of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased. A word's hash is a polynomial over random values of its bytes modulo
-2^64, mixed; a shingle's hash mixes those of its words in order. All of it is array arithmetic on the texts' bytes.
+A word is a run of ``[^\\x20\\x09-\\x0D]``, A-Z lower-cased. A word's hash sums, over its bytes, a scrambled product of a random
+number for the byte and one for its place in the word (there is no base whose powers repeat or die out modulo 2^64, so long words
+of few letters collide no more than others); a shingle's hash mixes those of its words in order. All of it is array arithmetic on
+the texts' bytes.
 """
 
 from __future__ import annotations
@@ -18,23 +20,10 @@ _BYTE[65:91] = _BYTE[97:123]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _PLACE = _random.integers(1, 1 << 63, 64, dtype=_U) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
 #: Texts are taken together up to about so many bytes.
 AT_ONCE = 1 << 20
 
-_powers = [np.ones(1, _U), np.ones(1, _U)]
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_BASE, _INVERSE)):
-                p = np.full(n, base, _U)
-                p[0] = 1
-                _powers[k] = np.cumprod(p, dtype=_U)
-    return _powers[0][:n], _powers[1][:n]
+_places = np.empty(0, _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,6 +34,14 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+def _place(n: int) -> np.ndarray:
+    """An odd random number for each place in a word of n bytes."""
+    global _places
+    if len(_places) < n:
+        _places = mix(np.arange(max(n, 2 * len(_places)), dtype=_U) + _U(0x9E3779B97F4A7C15)) | _U(1)
+    return _places
+
+
 def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of texts that lie one after the other in data, and of each text where its words end. ends: where texts end."""
     space = _IS_SPACE[data]
@@ -60,11 +57,13 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     if not len(begin):
         return np.empty(0, _U), np.zeros(len(ends), np.int64)
-    up, down = _power(len(data))
+    size = stop - begin
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, _U)
-        np.cumsum(_BYTE[data] * up, out=total[1:], dtype=_U)
-        found = mix((total[stop] - total[begin]) * down[begin])
+        term = _BYTE[data[inner]] * _place(int(size.max()))[place]
+        term ^= term >> _U(29)
+        found = mix(np.add.reduceat(term, first))
     return found, np.searchsorted(begin, ends)
 
 

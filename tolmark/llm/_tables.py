@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: A side with at most this many narrow rows (ids and counters, under 100 bytes each) may be broadcast.
@@ -30,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in local mode, one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -57,6 +60,23 @@ def _remove() -> None:
             return
 
 
+#: A group of more rows than this is hot, unless there may be more than BROADCAST_ROWS such groups.
+HOT = 1_000
+
+
+def attach(rows: DataFrame, groups: DataFrame, by: list[str], size: str, total: int) -> DataFrame:
+    """rows with the columns of the group (by) that they belong to; rows of other groups go. groups: one row for each group, narrow, with
+    its number of rows; both may be read twice. total: the number of rows. Hot groups are broadcast, of which there are at most
+    BROADCAST_ROWS by the limit set here, and their rows stay where they are; the others are joined."""
+    limit = max(HOT, total // BROADCAST_ROWS)
+    hot = F.broadcast(groups.where(F.col(size) > limit))
+    few = total <= BROADCAST_ROWS  # then the groups are few as well
+    if few:
+        return rows.join(F.broadcast(groups), by)
+    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(groups.where(F.col(size) <= limit), by)
+    return rows.join(hot, by).unionByName(cold)
+
+
 def arrow_type(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -1,6 +1,6 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF of character n-grams.
 
-Features are hashed n-grams of 1 to 3 bytes of the text (A-Z lower-cased; UTF-8, so that an accented letter is a bigram), with
+Features are hashed n-grams of 1 to 3 code points of the text (A-Z lower-cased), with
 weights (1 + log count) * log((1 + N) / (1 + df)), scaled to length 1. Document frequencies cover all training documents,
 whole. Weights are trained by follow-the-regularised-leader with elastic-net penalties (FTRL-proximal: most weights
 end at exactly 0) on a sample of about SAMPLE documents for each language, chosen by a hash of doc_id and in its order; one in
@@ -9,14 +9,14 @@ five of the sample is left out of the fit and sets the temperature by which scor
 Training documents are those with lang and doc_id whose crc32(doc_id as text) mod 5 is not 0; the others are held out. A
 prediction uses the text alone.
 
-Defined results: ``und`` with score 0 for null texts, for texts without a letter, and for all if there is nothing to learn
-from; with one language, that language with score 1. held_out is null for null doc_id. Repeated rows are predicted alike (and count
+Defined results: ``und`` with score 0 for null texts, for texts without a letter (a character of a category L*: numerals such as
+a half or a Roman eight are none), and for all if there is nothing to learn
+from; of equal scores the alphabetically first language; with one language, that language with score 1. held_out is null for null doc_id. Repeated rows are predicted alike (and count
 twice in training). An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,22 +33,31 @@ FEATURES = 1 << BITS
 #: Documents of a language from which weights are learnt, in expectation.
 SAMPLE = 400
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
-_LOWER = np.arange(256, dtype=np.uint32)
-_LOWER[65:91] += 32
+_U = np.uint32
+#: Code points that are mixed at once; n-grams go over the ends of such a run.
+AT_ONCE = 1 << 20
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text and their counts."""
-    b = _LOWER[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     total = np.zeros(FEATURES, np.int64)
-    gram = np.zeros(len(b), np.uint32)
-    for n in (1, 2, 3):
-        if len(b) >= n:
-            gram = b if n == 1 else (gram[:-1] << np.uint32(8)) | b[n - 1 :]
-            mixed = (gram + np.uint32(n << 24)) * np.uint32(2_654_435_761)
-            mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(2_246_822_519)
-            total += np.bincount(mixed >> np.uint32(32 - BITS), minlength=FEATURES)
+    for s in range(0, len(points), AT_ONCE):
+        own = points[s : s + AT_ONCE + 2]  # with the n-grams that begin in this run
+        own = np.where((own >= 65) & (own <= 90), own + _U(32), own)
+        run = min(AT_ONCE, len(points) - s)
+        gram = np.full(len(own), 1, _U)
+        for n in (1, 2, 3):
+            if len(own) < n:
+                break
+            gram = gram[: len(own) - n + 1] * _U(0x9E3779B1) + own[n - 1 :]
+            mixed = (gram ^ (gram >> _U(15))) * _U(2_246_822_519)
+            mixed = (mixed ^ (mixed >> _U(13))) * _U(3_266_489_917)
+            total += np.bincount((mixed ^ (mixed >> _U(16)))[:run] >> _U(32 - BITS), minlength=FEATURES)
     found = np.flatnonzero(total)
     return found, total[found]
 
@@ -65,7 +74,7 @@ class Model(NamedTuple):
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         found, counts = features(text)
         p = softmax((weighted(found, counts, self.idf) @ self.weights[found] + self.weights[-1]) / self.temperature)

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from tolmark.llm import _shingles
 from tolmark.llm._components import components
-from tolmark.llm._tables import BROADCAST_ROWS, cut, table
+from tolmark.llm._tables import BROADCAST_ROWS, attach, cut, table
 
 _U = np.uint64
 #: Bits of an odd sketch, as words.
@@ -144,11 +144,20 @@ def _named(df: DataFrame, side: str, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*keep, *(F.col(c).alias(side if c == "rep" else f"{side}_{c}") for c in df.columns if c not in keep))
 
 
+def _reaches(one: np.ndarray, other: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets have the similarity."""
+    if not len(one):
+        return False
+    at = np.minimum(np.searchsorted(one, other), len(one) - 1)
+    common = int((one[at] == other).sum())
+    return common > 0 and den * common >= num * (len(one) + len(other) - common)
+
+
 def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity. A hub's text goes once to every AGAINST_ONE of its partners or so."""
-    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / AGAINST_ONE).cast("int").alias("copies"))
+    groups = pairs.groupBy("a").agg(F.count("*").alias("size"), F.ceil(F.count("*") / AGAINST_ONE).cast("int").alias("copies"))
     hubs = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("role"), F.col("a").alias("doc"))
-    others = pairs.join(groups, "a").select("a", F.pmod(F.hash("b"), "copies").alias("copy"), F.lit(1).alias("role"), F.col("b").alias("doc"))
+    others = attach(pairs, groups, ["a"], "size", pairs.count()).select("a", F.pmod(F.hash("b"), "copies").alias("copy"), F.lit(1).alias("role"), F.col("b").alias("doc"))
     roles = cut(hubs.unionByName(others), "roles")
     texts = df.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     few = roles.count() <= BROADCAST_ROWS
@@ -156,7 +165,7 @@ def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int,
     ordered = rows.repartition("a", "copy").sortWithinPartitions("a", "copy", "role", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, items = None, None
+        hub, sets = None, []  # a doc_id on several rows has several sets
         for b in batches:
             found: list[tuple[int, int]] = []
             for s in range(0, b.num_rows, 512):
@@ -164,12 +173,9 @@ def confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str, words: int,
                 columns = (part.column(k).to_pylist() for k in range(4))
                 for a, copy, role, doc, mine in zip(*columns, _shingles.sets(part.column(4), words)):
                     if role == 0:
-                        hub, items = (a, copy), mine
-                    elif hub == (a, copy):
-                        at = np.minimum(np.searchsorted(items, mine), max(len(items) - 1, 0))
-                        common = int((items[at] == mine).sum()) if len(items) else 0
-                        if common and den * common >= num * (len(items) + len(mine) - common):
-                            found.append((a, doc))
+                        hub, sets = (a, copy), [*(sets if hub == (a, copy) else []), mine]
+                    elif hub == (a, copy) and any(_reaches(items, mine, num, den) for items in sets):
+                        found.append((a, doc))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return cut(ordered.mapInArrow(run, "a long, b long"), "confirmed")
@@ -196,8 +202,8 @@ def across(rest: DataFrame, reps: DataFrame, df: DataFrame, key: str, text: str,
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rep", "items"])
 
     whole = cut(texts.mapInArrow(sets, "rep long, items array<long>"), "sets")
-    blocks = rest.join(reps.select("rep", "n"), "rep").groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
-    placed = rest.join(blocks, "bucket").withColumn("own", F.pmod(F.hash("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = rest.join(reps.select("rep", "n"), "rep").groupBy("bucket").agg(F.count("*").alias("size"), F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    placed = attach(rest, cut(blocks, "sizes"), ["bucket"], "size", rest.count()).withColumn("own", F.pmod(F.hash("rep"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select("rep", "bucket", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     held = placed.join(reps.select("rep", *_WORDS, "bands"), "rep").join(whole, "rep")
 
@@ -240,26 +246,39 @@ def near_groups(df: DataFrame, key: str, text: str, words: int = 5, num: int = 8
     """doc, n_shingles, component: a row for each row of df. Similarity is num / den."""
     bands, rows = banding(num / den)
     signed = cut(signatures(df, key, text, words, bands, rows), "signatures")
-    classes = signed.where("n > 0 AND doc IS NOT NULL").groupBy("k0", "k1").agg(F.min("doc").alias("rep"))
-    own = F.col("doc") == F.col("rep")
-    nodes = signed.join(classes, ["k0", "k1"], "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("rep")), "doc")).alias("rep"), *(F.when(own & (F.col("n") > 0), F.col(c)).alias(c) for c in (*_WORDS, "bands")))
+    total = signed.count()
+    shared = signed.where("n > 0 AND doc IS NOT NULL").groupBy("k0", "k1").agg(F.min("doc").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    shared = cut(shared, "classes")
+    of_class = attach(signed.select("doc", "k0", "k1"), shared, ["k0", "k1"], "size", total).where("doc <> rep").select("doc", "k0", "k1", "rep").distinct()
+    of_class = cut(of_class, "copies")
+    side = F.broadcast if of_class.count() <= BROADCAST_ROWS else (lambda x: x)
+    first = signed.join(side(of_class), ["doc", "k0", "k1"], "left").withColumn("own", F.col("rep").isNull() & (F.col("n") > 0) & F.col("doc").isNotNull())
+    nodes = first.select("doc", "n", F.coalesce("rep", "doc").alias("rep"), *(F.when(F.col("own"), F.col(c)).alias(c) for c in (*_WORDS, "bands")))
     nodes = cut(nodes, "nodes")
     reps = nodes.where("bands IS NOT NULL")
     held = reps.select("rep", "n", *_WORDS)
 
     placed = reps.select("rep", F.explode("bands").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    hits = cut(placed.join(shared, "bucket"), "hits")
+    shared = cut(placed.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    hits = cut(attach(placed, shared, ["bucket"], "size", total * bands), "hits")
 
     alike = _may_be_alike(num, den, bands * rows)
     stars = hits.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = stars.join(_named(held, "a"), "a").join(_named(held, "b"), "b").where(alike).select("a", "b").distinct()
+    stars = cut(stars, "pairs")
+    hubs = stars.groupBy("a").agg(F.count("*").alias("size")).join(_named(held, "a"), "a")
+    stars = attach(stars, cut(hubs, "hubs"), ["a"], "size", stars.count()).join(_named(held, "b"), "b").where(alike).select("a", "b").distinct()
     links = confirmed(cut(stars, "stars"), df, key, text, words, num, den)
+    # an id on several rows, of which some are copies of others: it is one node
+    selves = nodes.where("rep = doc").join(side(of_class), "doc", "left_semi").select("doc")
+    several = of_class.groupBy("doc").count().where("count > 1").select("doc")
+    bridges = of_class.join(selves.unionByName(several).distinct(), "doc", "left_semi").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    links = cut(links.unionByName(bridges), "links")
     found = components(links)
 
     wide = hits.where("size > 2").join(found, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "hub", F.coalesce("component", "rep").alias("component"))
-    mixed = wide.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    rest = cut(wide.join(mixed, "bucket").where("rep <> hub").select("bucket", "rep", "component"), "rest")
+    wide = cut(wide, "wide")
+    mixed = wide.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high").select("bucket", "size")
+    rest = cut(attach(wide, cut(mixed, "mixed"), ["bucket"], "size", wide.count()).where("rep <> hub").select("bucket", "rep", "component"), "rest")
     more = across(rest, reps, df, key, text, words, num, den, sketch_limit(bands * rows, num / den))
     if not more.isEmpty():
         found = components(links.unionByName(more))
