@@ -58,9 +58,16 @@ def limits(costs, quantile=Q.QUANTILE, prior=Q.PRIOR):
     return {k: (usual[k], np.mean(v) + z * np.sqrt((len(v) * np.var(v) + Q.POOL * pooled) / (len(v) + Q.POOL) * (1 + 1 / len(v)))) for k, v in score.items()}
 
 
-def packed(spark, texts, block=None):
-    df = spark.createDataFrame([(k, None, k % 3 > 0, t) for k, t in enumerate(texts)], "doc long, lang string, fit boolean, text string")
-    return Q.blocks(df, block)
+def frame(spark, texts):
+    return spark.createDataFrame([(k, None, t, k % 3 > 0) for k, t in enumerate(texts)], "doc long, lang string, text string, fit boolean")
+
+
+def asked_of(spark, texts, block=Q.BLOCK, shards=3):
+    return Q.counts(Q.dealt(Q.listed(frame(spark, texts), block), shards))
+
+
+def model_of(spark, texts, block=Q.BLOCK):
+    return Q.model(asked_of(spark, texts, block).where("c > 0").select("gram", "c"))
 
 
 def made(r, n):
@@ -70,7 +77,7 @@ def made(r, n):
 def test_scores_against_brute_force(spark):
     r = random.Random(4)
     texts = [made(r, r.randint(1, 60)) for _ in range(60)] + [None, ""]
-    orders = Q.model(Q.counts(packed(spark, texts, 400)))
+    orders = model_of(spark, texts, 400)
     p = brute([t for k, t in enumerate(texts) if t and k % 3])
     asked = {g for t in texts if t for g in grams(t)} | {g for _ in range(300) for g in grams(made(r, 8).replace("b", "x#"[r.random() < 0.5]))}
     got = {x.gram: x.p for x in Q.scores(spark.createDataFrame([(g,) for g in asked], "gram string"), orders).collect()}
@@ -85,7 +92,7 @@ def test_scores_against_brute_force(spark):
 def test_no_probability_is_zero(spark):
     """Where every count is alike the formulas' discounts leave [0, k]; nothing may become impossible."""
     for texts in (["ab" * 40] * 3, ["abcdefgh"] * 9, ["a"] * 3, ["aabb" * 3, "ab", "ba"] * 3):
-        orders = Q.model(Q.counts(packed(spark, texts)))
+        orders = model_of(spark, texts)
         asked = {g for t in ("zzzzzz", "abzab", "aaaaaa", "bbbbbb", "ba") for g in grams(t)}
         got = Q.scores(spark.createDataFrame([(g,) for g in asked], "gram string"), orders).collect()
         assert len(got) == len(asked) and all(0 < x.p <= 1 for x in got)
@@ -97,17 +104,27 @@ def test_sums_over_blocks(spark, monkeypatch):
     texts = [made(r, n) for n in (1, 3, 5000, 40, 700, 700)] + [None, ""]
     p = brute([t for k, t in enumerate(texts) if t and k % 3])
     want = sorted((k, round(-sum(np.log(p(g)) for g in grams(t or "")), 2), len(t or "")) for k, t in enumerate(texts))
-    for block, at_once in ((None, None), (50, 64), (900, 1000)):
-        if at_once:
-            monkeypatch.setattr(Q, "AT_ONCE", at_once)
-        own = Q.cut(packed(spark, texts, block), "test")
-        assert own.count() > 1 or block is None
-        scored = Q.scores(own.select(Q.F.explode("grams").alias("gram")).distinct(), Q.model(Q.counts(own)))
-        got = sorted((x.doc, round(x.cost, 2), x.n) for x in Q.sums(own, scored).collect())
+    for block, at_once, shard in ((None, Q.AT_ONCE, Q.SHARD), (50, 64, 40), (900, 1000, 300)):
+        monkeypatch.setattr(Q, "SHARD", shard)
+        monkeypatch.setattr(Q, "AT_ONCE", at_once)  # of the driver only; workers cut parts by the default
+        got = sorted((x.doc, x.cost, x.n) for x in Q.costs(Q._settled(frame(spark, texts)), block).collect())
         assert [g[::2] for g in got] == [w[::2] for w in want]
         assert all(g[1] == pytest.approx(w[1], rel=1e-5, abs=0.02) for g, w in zip(got, want))
 
 
+def test_parts_of_long_texts(monkeypatch):
+    """A text cut into parts, each with its context, has the same n-grams."""
+    r = random.Random(8)
+    text = made(r, 3000)
+    monkeypatch.setattr(Q, "AT_ONCE", 100)
+    monkeypatch.setattr(Q, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("P", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    batch = Q.pa.RecordBatch.from_pydict({"doc": [1, 2], "lang": ["a", None], "text": [text, ""]})
+    held = list(Q._packed(iter([batch]), 350))
+    assert len(held) > 5 and [n for n, _ in held] == list(range(len(held)))
+    found = [g for _, parts in held for x in parts for g in (lambda w, c: ["".join(map(chr, w[k])) for k in c])(*Q.coded([x[3]]))]
+    assert found == grams(text)
+
+
 def test_rows(spark):
     r = random.Random(9)
     good = lambda: " ".join(r.choice(["the", "rain", "in", "spain", "falls", "mainly", "on", "plains"]) for _ in range(60)) + "."
