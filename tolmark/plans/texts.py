@@ -197,15 +197,15 @@ def rotation_best(s: Source) -> DataFrame:
 
 
 @query("""
-SELECT id AS doc, string_agg(w, ' ' ORDER BY k) FILTER (WHERE w <> '') AS text, round(coalesce(avg(c) FILTER (WHERE w <> '') / 100, 0), 6) AS confidence
-FROM (SELECT doc_id AS id, k, trim(split_part(text, ' ', k)) AS w, CASE WHEN k % 3 = 0 THEN NULL ELSE ((doc_id + k * 17) % 101)::DOUBLE END AS c
-  FROM documents CROSS JOIN (SELECT unnest(range(1, 9))::INT AS k) WHERE text IS NOT NULL) WHERE TRUE GROUP BY id""")
+SELECT id AS doc, string_agg(w, ' ' ORDER BY k) FILTER (WHERE w <> '') AS text, coalesce(avg(c) FILTER (WHERE w <> '') / 100, 0) AS confidence
+FROM (SELECT id, k, trim(w) AS w, CASE WHEN k % 3 = 0 THEN NULL ELSE ((id + k * 17) % 101)::DOUBLE END AS c
+  FROM (SELECT doc_id AS id, unnest(string_split(text, ' ')) AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS k FROM documents WHERE text IS NOT NULL)) GROUP BY id""")
 def word_ocr_fold(s: Source) -> DataFrame:
     """Word tables joined to texts with their mean confidence."""
-    words = s.table("documents").where("text IS NOT NULL").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("ord"))
-    words = words.select(F.col("doc_id").alias("doc"), "ord", F.split_part("text", F.lit(" "), "ord").alias("word"), F.when(F.col("ord") % 3 == 0, "-").otherwise(((F.col("doc_id") + F.col("ord") * 17) % 101).cast("string")).alias("conf"))
+    words = s.table("documents").where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word")).withColumn("ord", F.col("at") + 1)
+    words = words.select(F.col("doc_id").alias("doc"), "ord", "word", F.when(F.col("ord") % 3 == 0, "-").otherwise(((F.col("doc_id") + F.col("ord") * 17) % 101).cast("string")).alias("conf"))
     joined = report.words_joined(words, ["doc"])
-    return joined.select("doc", F.when(F.col("text") != "", F.col("text")).alias("text"), F.round("confidence", 6).alias("confidence"))
+    return joined.select("doc", F.when(F.col("text") != "", F.col("text")).alias("text"), "confidence")
 
 
 @query(PARSED + NOTES + """,

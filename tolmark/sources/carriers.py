@@ -21,13 +21,12 @@ SELECT o_custkey AS page, o_orderkey AS ord,
   CAST((o_orderkey * 37) % 120 + 40 + o_orderkey % 60 AS INT) AS x1, CAST((o_orderkey * 53) % 70 + 20 + o_orderkey % 30 AS INT) AS y1,
   CAST((o_orderkey * 13) % 97 AS INT) AS conf
 FROM {orders}""",
-    # rectangles found by drawing analysis, near two of three detections
+    # rectangles found by drawing analysis, one for each order: two of three near a detection, the third away from it
     "cvb": """
-SELECT o_custkey AS page, o_orderkey AS ord,
-  CAST((o_orderkey * 37) % 120 + o_orderkey % 9 - 4 AS INT) AS x0, CAST((o_orderkey * 53) % 70 + o_orderkey % 7 - 3 AS INT) AS y0,
-  CAST((o_orderkey * 37) % 120 + 40 + o_orderkey % 60 + o_orderkey % 5 AS INT) AS x1, CAST((o_orderkey * 53) % 70 + 20 + o_orderkey % 30 + o_orderkey % 4 AS INT) AS y1,
-  CAST(1 + o_orderkey % 3 AS INT) AS cells
-FROM {orders} WHERE o_orderkey % 3 <> 1""",
+SELECT page, ord, CAST(x + ord % 9 - 4 AS INT) AS x0, CAST(y + ord % 7 - 3 AS INT) AS y0,
+  CAST(x + 40 + ord % 60 + ord % 5 AS INT) AS x1, CAST(y + 20 + ord % 30 + ord % 4 AS INT) AS y1, CAST(1 + ord % 3 AS INT) AS cells
+FROM (SELECT o_custkey AS page, o_orderkey AS ord, (o_orderkey * 37 + CASE WHEN o_orderkey % 3 = 1 THEN 61 ELSE 0 END) % 120 AS x,
+  (o_orderkey * 53 + CASE WHEN o_orderkey % 3 = 1 THEN 37 ELSE 0 END) % 70 AS y FROM {orders})""",
     # transcribed callouts
     "callouts": """
 SELECT p_partkey AS id, p_partkey % 50 AS page,
@@ -42,13 +41,13 @@ SELECT p_partkey AS id, p_partkey % 50 AS page,
   CASE CAST(p_partkey % 7 AS INT) WHEN 0 THEN 'gdt' WHEN 1 THEN 'theoretical' WHEN 2 THEN 'material' WHEN 3 THEN 'note' ELSE '' END AS hint,
   CAST((p_partkey * 29) % 101 AS INT) AS conf, p_partkey % 11 = 0 AS rotated
 FROM {part}""",
-    # the legends' transcriptions, line by line
+    # the legends' transcriptions, line by line: a whole text is one line, its halves the two languages
     "legend": """
 SELECT conv_id AS block, turn AS ord, CAST(100 + floor(turn / 2) AS INT) AS pos,
   CASE WHEN role = 'system' THEN CAST(turn + 1 AS INT) ELSE NULL END AS sub,
-  CASE WHEN turn % 5 = 3 THEN '' ELSE trim(substr(translate(text, concat(chr(9), chr(10)), '  '), 1, 12)) END AS en,
-  CASE WHEN turn % 3 = 2 THEN '' ELSE trim(substr(translate(text, concat(chr(9), chr(10)), '  '), 14, 10)) END AS de
-FROM {conversations}""",
+  CASE WHEN turn % 5 = 3 THEN '' ELSE trim(substr(line, 1, CAST(floor(length(line) / 2) AS INT))) END AS en,
+  CASE WHEN turn % 3 = 2 THEN '' ELSE trim(substr(line, CAST(floor(length(line) / 2) AS INT) + 1)) END AS de
+FROM (SELECT conv_id, turn, role, replace(replace(replace(replace(translate(text, concat(chr(9), chr(10)), '  '), '    ', ' '), '  ', ' '), '  ', ' '), '  ', ' ') AS line FROM {conversations})""",
     # what a model said about a tile
     "said": """
 SELECT event_id AS tile, CAST(user_id % 40 AS INT) AS tx, CAST(event_id % 30 AS INT) AS ty,

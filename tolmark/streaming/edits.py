@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tolmark.operators.grouped import fold
+
 # Event types of the base table and the edits that they stand for.
 EDITS = {"signup": "add", "error": "delete", "click": "move", "purchase": "accept", "view": "undo"}
 RESULT = "session long, id long, pos int, x int, y int, reviewed boolean"
@@ -77,11 +79,11 @@ def _named(edits: DataFrame) -> DataFrame:
 def replay(edits: DataFrame) -> DataFrame:
     """edits: session, seq, op, id, x, y. The rows that each session ends with."""
 
-    def task(log: pd.DataFrame) -> pd.DataFrame:
-        rows = replayed(log.sort_values("seq")[["op", "id", "x", "y"]].itertuples(index=False, name=None))
-        return pd.DataFrame([(log["session"].iloc[0], *r) for r in rows], columns=["session", "id", "pos", "x", "y", "reviewed"])
+    def task(session: int, rows: Iterator[tuple]) -> Iterator[tuple]:
+        for row in replayed(r[2:] for r in rows):
+            yield session, *row
 
-    return _named(edits).groupBy("session").applyInPandas(task, RESULT)
+    return fold(_named(edits).select("session", "seq", "op", "id", "x", "y"), "session", ["seq"], RESULT, task)
 
 
 def stream(edits: DataFrame) -> DataFrame:
