@@ -55,7 +55,7 @@ def stack_merge(dets: DataFrame, x_tol: int = 20, y_gap: int = 20, lines: int =
                 yield page, kind, at, *box, conf
 
     rows = dets.where(_WHOLE).select("page", "kind", "ord", "x0", "y0", "x1", "y1", F.coalesce("conf", F.lit(0)).alias("conf"))
-    return fold(rows, "page", ["ord"], "page long, kind string, ord long, x0 int, y0 int, x1 int, y1 int, conf int", task)
+    return fold(rows, "page", ["ord"], f"page long, kind string, ord long, x0 int, y0 int, x1 int, y1 int, conf {rows.schema['conf'].dataType.simpleString()}", task)
 
 
 def note_cluster(dets: DataFrame, x_tol: int = 30, y_gap: int = 40) -> DataFrame:

@@ -15,7 +15,7 @@ from tolmark.sources import provider
 
 def detected(tiles: DataFrame, cv_boxes: DataFrame, factory: Callable[[], Any]) -> DataFrame:
     """page, ord, kind, box, conf: tile detections merged and freed of duplicates, rectangles taken in."""
-    found = provider.detect_tiles(tiles, factory).withColumn("ord", F.col("tile") * 100_000 + F.col("ord")).withColumn("conf", (F.col("conf") * 100).cast("int"))
+    found = provider.detect_tiles(tiles, factory).withColumn("ord", F.col("tile") * 100_000 + F.col("ord")).withColumn("conf", F.col("conf") * 100)
     kept = suppress.same_kind(cluster.stack_merge(found))
     both = pairs.hybrid(kept, cv_boxes).withColumn("ord", F.when(F.col("source") == "cv", F.col("ord") + (1 << 40)).otherwise(F.col("ord")))
     return suppress.cross_kind(both)

@@ -6,12 +6,14 @@ Python worker by a factory, with retries. A tile that fails is skipped, a read t
 
 from __future__ import annotations
 
+import hashlib
 import os
 import time
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any, NamedTuple, Protocol, runtime_checkable
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,20 +102,26 @@ def safe_read(reader: Callable[[bytes], Read], image: bytes) -> Read:
         return Read("", 0.0)
 
 
-_providers: dict[int, Any] = {}
+_providers: dict[str, Any] = {}
 
 
-def _once(factory: Callable[[], Any]) -> Any:
-    if id(factory) not in _providers:
-        _providers[id(factory)] = made(factory)
-    return _providers[id(factory)]
+def _name(factory: Callable[[], Any]) -> str:
+    """A factory by its contents: tasks unpickle copies of it, whose addresses say nothing."""
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def _once(name: str, factory: Callable[[], Any]) -> Any:
+    if name not in _providers:
+        _providers[name] = made(factory)
+    return _providers[name]
 
 
 def detect_tiles(tiles: DataFrame, factory: Callable[[], Any]) -> DataFrame:
     """tiles: page, tile, x0, y0, image. page, tile, ord, box in page coordinates, kind, conf; tiles that fail give nothing."""
+    name = _name(factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = _once(factory)
+        provider = _once(name, factory)
         require_detector(provider)
         for b in batches:
             rows = []
@@ -130,10 +138,11 @@ def detect_tiles(tiles: DataFrame, factory: Callable[[], Any]) -> DataFrame:
 
 def reader_udf(factory: Callable[[], Any], name: str = "read_region") -> Callable:
     """An iterator pandas UDF from an image to struct<text, confidence>; the model is loaded once for each worker."""
+    held = _name(factory)
 
     @F.pandas_udf("text string, confidence double")
     def read(images: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        reader = capability(_once(factory), name)
+        reader = capability(_once(held, factory), name)
         for s in images:
             yield pd.DataFrame([safe_read(reader, x) for x in s], columns=["text", "confidence"])
 
@@ -147,9 +156,10 @@ def whole(image: bytes, box: tuple[int, int, int, int]) -> bytes:
 
 def read_boxes(boxes: DataFrame, factory: Callable[[], Any], crop: Callable[[bytes, tuple[int, int, int, int]], bytes] = whole) -> DataFrame:
     """boxes: page, ord, kind, x0, y0, x1, y1, image. The same without the image, with text and confidence; geometric frames by their own reader."""
+    name = _name(factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = _once(factory)
+        provider = _once(name, factory)
         for b in batches:
             rows = []
             for image, kind, *box in b[["image", "kind", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None):
