@@ -92,3 +92,16 @@ def test_odd_rows(spark):
         for _, stage in P.STAGES:
             step = cut(stage(spark, step, SF), "odd")
         assert step.count() == frame.count()
+
+
+def test_clashing_columns(spark):
+    """Extra columns, called as the operators call theirs, come through every stage."""
+    extra = ["doc", "rep", "lang2", "print", "bitmap", "lines", "own", "held", "fit", "block", "row", "component", "item", "word", "n"]
+    rows = [(k, f"some plain words number {k} here", "en") for k in range(12)] + [(None, None, None), (3, "some plain words number 3 here", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").select("*", *(quality.F.lit(7).alias(c) for c in extra))
+    for _, stage in P.STAGES[:-1]:
+        docs = cut(stage(spark, docs, SF), "clash")
+        assert docs.columns == ["doc_id", "text", "lang", *extra]
+        assert all(x[c] == 7 for x in docs.collect() for c in extra)
+    kept = docs.count()
+    assert kept and P.token_stage(spark, docs, SF).count() == kept
