@@ -43,3 +43,10 @@ def test_large_values_stay_exact():
             ids, score = s.search(own, v[own], 20)
             want = sorted((-int(sum(int(a) * int(b) for a, b in zip(v[own], v[c]))), c) for c in range(2000) if c != own)[:20]
             assert [(-int(x), int(i)) for i, x in zip(ids, score)] == want
+
+
+def test_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (0, [2.0]), (1, [1.0]), (1, [1.0]), (2, [3.0])], "vec_id long, embedding array<double>")
+    whole = K.integers(df, "vec_id", "embedding", 64)
+    got = sorted(map(tuple, K.search(whole, whole.where("id = 0"), 2).select("query_id", "vec_id", "score").collect()))
+    assert len(got) == 2 and got[1] == (0, 2, 2 * 64 * 3 * 64)  # over both vectors of the query's id

@@ -1,8 +1,8 @@
 """Exact top-k search by inner product, with MaxScore over postings of dimensions.
 
 Vectors become whole numbers, ``floor(scale * x)``. A dimension is a term, a candidate's value in it the posting's weight, and a query
-multiplies it by its own. Candidates are dealt into shards and queries into blocks; each (shard, block) task holds one
-shard's postings by dimension, and for each query
+multiplies it by its own. Candidates are dealt into shards. A shard's task reads its candidates
+once, holds their postings by dimension while the queries stream past, and for each query
 
 1. scores the shard's first candidates in full, which gives the score to beat (the k-th best so far),
 2. orders the query's terms by their upper bound in this shard (largest or smallest posting, by the query's sign); the
@@ -15,11 +15,13 @@ floats are used only while bounds show that every sum is a whole number that the
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows without vec_id, take no part. A shorter
 vector counts as having zeros at its end. Rows that repeat a vec_id are candidates each; a query's own id is never its
-candidate, and equal queries give their result once. An empty table gives an empty result. Other columns are not read.
+candidate, and equal queries give their result once. Scores must stay under 2^63, and so must ``scale * x``: beyond, they are undefined. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from tolmark.llm._tables import cut, table
 
-#: Candidates of a shard and queries of a block.
-SHARD, BLOCK = 16_384, 2_048
+#: Candidates of a shard, and queries that are answered at a time.
+SHARD, BLOCK = 65_536, 2_048
 #: Candidates that are scored in full first, and terms that are probed at a time.
 SEED, PROBE = 512, 8
 
@@ -112,30 +114,57 @@ def integers(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score. Both sides: id, v."""
+    """query_id, rank, vec_id, score. Both sides: id, v. A shard's task reads its candidates once, then the queries one batch after another."""
     candidates, queries = cut(candidates, "candidates"), cut(queries.dropDuplicates(["id", "v"]), "queries")
-    shards, blocks = -(-candidates.count() // SHARD) or 1, -(-queries.count() // BLOCK) or 1
-    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    left = candidates.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), each(blocks, "block"))
-    right = queries.select("id", "v", each(shards, "shard"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int").alias("block"))
-
-    def task(mine: pa.Table, asked: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        found: list[list[np.ndarray]] = [[], [], []]
-        if mine.num_rows and asked.num_rows:
-            width = max(int(pc.max(pc.list_value_length(t["v"])).as_py() or 0) for t in (mine, asked))
-            shard = Shard(mine["id"].to_numpy(), matrix(mine["v"], width))
-            for own, query in zip(asked["id"].to_numpy(), matrix(asked["v"], width)):
-                ids, score = shard.search(own, query, k)
-                for out, part in zip(found, (np.full(len(ids), own), ids, score)):
-                    out.append(part)
-        return pa.table([pa.array(np.concatenate(x) if x else np.empty(0, np.int64), pa.int64()) for x in found], names=names)
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(task, "query_id long, vec_id long, score long")
+    shards = max(-(-candidates.count() // SHARD), candidates.sparkSession.sparkContext.defaultParallelism)
+    own = candidates.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "id", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("role"), "id", "v")
+    ordered = own.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, shard = None, [], None
+        for b in batches:
+            place, role, ids = (b.column(c).to_numpy() for c in range(3))
+            change = np.flatnonzero((np.diff(place) != 0) | (np.diff(role) != 0)) + 1
+            for s, e in zip([0, *change], [*change, b.num_rows]):
+                if place[s] != at:
+                    at, parts, shard = place[s], [], None
+                vectors = pa.chunked_array([b.column(3).slice(s, e - s)])
+                if role[s] == 0:
+                    parts.append((ids[s:e], matrix(vectors, _width(vectors))))
+                    continue
+                if shard is None and parts:
+                    shard, parts = Shard(np.concatenate([p[0] for p in parts]), _stacked([p[1] for p in parts])), []
+                for t in range(s, e, BLOCK) if shard is not None else ():
+                    yield _found(shard, ids[t : min(e, t + BLOCK)], vectors.slice(t - s, BLOCK), k)
+
+    found = ordered.mapInArrow(run, "query_id long, vec_id long, score long")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _width(vectors: pa.ChunkedArray) -> int:
+    return int(pc.max(pc.list_value_length(vectors)).as_py() or 0)
+
+
+def _stacked(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows of several widths as one matrix, with zeros at the end of shorter ones."""
+    width = max(p.shape[1] for p in parts)
+    return np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
+
+
+def _found(shard: Shard, ids: np.ndarray, vectors: pa.ChunkedArray, k: int) -> pa.RecordBatch:
+    """The shard's k best of each query. Components that only one side has count nothing."""
+    wide = shard.whole.shape[1]
+    asked = matrix(vectors, max(wide, _width(vectors)))[:, :wide]
+    out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+    for own, query in zip(ids, asked):
+        near, score = shard.search(own, query, k)
+        for held, part in zip(out, (np.full(len(near), own), near, score)):
+            held.append(part)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+
+
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64)
     return search(whole, whole.where("id % 20 = 0"), 20)
