@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from tolmark.llm._tables import BROADCAST_ROWS, cut, table
 
 WIDTH, NUM, DEN = 5, 80, 100
+#: Characters of the items' shingles that may be broadcast.
+BROADCAST_CHARACTERS = 1 << 24
 
 
 def words(text: Column) -> Column:
@@ -73,7 +75,8 @@ def contained(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     candidates = cut(hit.select("doc", "item").distinct(), "candidates")
     suspects = slim.join(F.broadcast(candidates) if candidates.count() <= BROADCAST_ROWS else candidates, "doc")
     held = signed.drop("signature")
-    both = suspects.join(F.broadcast(held) if few else held, "item")
+    characters = held.agg(F.sum(F.length(F.array_join("parts", " ")))).first()[0] or 0
+    both = suspects.join(F.broadcast(held) if characters <= BROADCAST_CHARACTERS else held, "item")
     shared = F.size(F.array_intersect(_shingles(F.col("w"), F.col("width")), F.col("parts"))).cast("long")
     found = both.select("doc", "item", "n", "need", shared.alias("shared")).where("shared >= need")
     return found.groupBy("doc", "item").agg(F.max("n").alias("n"), F.max("shared").alias("shared"))
