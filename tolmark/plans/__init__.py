@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tolmark.plans import boxes, registry, sessions, texts  # noqa: F401
+from tolmark.plans import blocks, boxes, registry, sessions, texts  # noqa: F401
 
 
 def queries() -> dict:
