@@ -50,18 +50,18 @@ def _sources(s: Source) -> DataFrame:
 
 
 def _reads(s: Source, boxes: DataFrame) -> DataFrame:
-    """What a reader said about each box: one of the cells' texts."""
-    return boxes.select("page", "ord", (F.col("ord") % 40).alias("cell")).join(s.cells, "cell").select("page", "ord", "raw")
+    """What a reader said about each box: one of all cells' texts."""
+    dealt = boxes.select("page", "ord").crossJoin(s.cells.agg((F.max("cell") + 1).alias("n")))  # of one row
+    return dealt.select("page", "ord", (F.col("ord") % F.col("n")).alias("cell")).join(s.cells, "cell").select("page", "ord", "raw")
 
 
 @query("""
 SELECT page, ord, x0, y0, x1, y1,
   CASE WHEN x1 - x0 > 24 AND y1 - y0 > 24 THEN x0 + 12 ELSE x0 END AS in_x0, CASE WHEN x1 - x0 > 24 AND y1 - y0 > 24 THEN y0 + 12 ELSE y0 END AS in_y0,
   CASE WHEN x1 - x0 > 24 AND y1 - y0 > 24 THEN x1 - 12 ELSE x1 END AS in_x1, CASE WHEN x1 - x0 > 24 AND y1 - y0 > 24 THEN y1 - 12 ELSE y1 END AS in_y1
-FROM cvb WHERE x1 - x0 >= 12 AND y1 - y0 >= 22 AND (x1 - x0) * (y1 - y0) * 100 <= 5 * 240 * 150""")
+FROM cvb WHERE x1 - x0 >= 22 AND y1 - y0 >= 22 AND (x1 - x0) * (y1 - y0) * 100 <= 5 * 240 * 150""")
 def rectangle_filter(s: Source) -> DataFrame:
-    found = regions.rectangles(s.cvb.where("y1 - y0 >= 22").drop("cells"), 240, 150)
-    return regions.inset(found, 12)
+    return regions.inset(regions.rectangles(s.cvb.drop("cells"), 240, 150, least=22), 12)
 
 
 @query(REGIONS + "SELECT page, x0, y0, x1, y1, cells FROM tr")
@@ -85,24 +85,24 @@ def _wrapped(sql: str, name: str, select: str) -> str:
     return f"{head}, {name} AS ({select}{tail})"
 
 
-@query(REGIONS + LINES + _wrapped(ISLANDS.format(rows="lr"), "rows", "SELECT block, min(ord)") + """,
-nb AS (SELECT s.page, s.source, r.ord, CASE WHEN sub IS NOT NULL THEN sub ELSE pos END AS pos, CASE WHEN sub IS NOT NULL THEN pos END AS parent_pos, en, de, s.page % 3 <> 0 OR s.source = 1 AS two
-  FROM src s JOIN rows r ON r.block = (s.page * 2 + s.source) % 10 WHERE en <> '' OR de <> ''),
+@query(LINES + _wrapped(ISLANDS.format(rows="lr"), "rows", "SELECT block, min(ord)") + """,
+nb AS (SELECT block // 2 AS page, (block % 2)::INT AS source, ord, CASE WHEN sub IS NOT NULL THEN sub ELSE pos END AS pos, CASE WHEN sub IS NOT NULL THEN pos END AS parent_pos, en, de, block % 3 <> 0 AS two
+  FROM rows WHERE en <> '' OR de <> ''),
 par AS (SELECT DISTINCT page, pos FROM nb WHERE parent_pos IS NULL)
 SELECT nb.page, source, ord, nb.pos, parent_pos, en AS text_en, de AS text_de,
   array_to_string(list_filter([CASE WHEN two AND (en = '' OR de = '') THEN 'missing translation' END, CASE WHEN parent_pos IS NOT NULL AND par.pos IS NULL THEN 'orphan sub-bullet' END], lambda x: x IS NOT NULL), '|') AS reasons
 FROM nb LEFT JOIN par ON par.page = nb.page AND par.pos = nb.parent_pos""")
 def notes_block(s: Source) -> DataFrame:
-    """Legend and note table of each page, read, parsed and reviewed as one list."""
-    sources = _sources(s).withColumn("two_columns", (F.col("page") % 3 != 0) | (F.col("source") == 1))
-    said = _legend_lines(s).where("block < 10")
-    reads = sources.select("page", "source", ((F.col("page") * 2 + F.col("source")) % 10).alias("block")).join(said, "block").drop("block")
+    """Two legends a page, read, parsed and reviewed as one list."""
+    of = (F.shiftright("block", 1).alias("page"), (F.col("block") % 2).cast("int").alias("source"))
+    reads = _legend_lines(s).select(*of, "raw")
+    sources = s.legend.select("block").distinct().select(*of, (F.col("block") % 3 != 0).alias("two_columns"))
     found = regions.notes_of(sources, reads)
     return found.select("page", "source", "ord", "pos", "parent_pos", "text_en", "text_de", F.array_join("review_reasons", "|").alias("reasons"))
 
 
 FIELDS = REGIONS + TITLES + """,
-fields AS (SELECT g.page, g.ord, 'cell' AS source, label, label_en, label_de, value, CASE WHEN value = '' THEN 'empty value' WHEN label = '' THEN 'missing caption' ELSE '' END AS reasons FROM gt g JOIN tf ON tf.cell = g.ord % 40)
+fields AS (SELECT g.page, g.ord, 'cell' AS source, label, label_en, label_de, value, CASE WHEN value = '' THEN 'empty value' WHEN label = '' THEN 'missing caption' ELSE '' END AS reasons FROM gt g JOIN tf ON tf.cell = g.ord % (SELECT max(cell) + 1 FROM cells))
 """
 
 LOOSE = """,
@@ -130,7 +130,7 @@ def loose_regions(s: Source) -> DataFrame:
 
 
 @query(FIELDS + LOOSE + """SELECT * FROM fields
-UNION ALL SELECT page, ord, 'loose', '', '', '', t, '' FROM free JOIN tc ON tc.cell = ord % 40 WHERE t <> ''""")
+UNION ALL SELECT page, ord, 'loose', '', '', '', t, '' FROM free JOIN tc ON tc.cell = ord % (SELECT max(cell) + 1 FROM cells) WHERE t <> ''""")
 def title_and_loose(s: Source) -> DataFrame:
     cells = _title_cells(s)
     both = regions.with_loose(regions.title_fields(cells, _reads(s, cells)), _loose(s))
@@ -150,7 +150,7 @@ def location_report(s: Source) -> DataFrame:
 SELECT d.page, count(*) AS characteristics, any_value(n.n) AS notes, any_value(m.n) AS marks, coalesce(any_value(t.n), 0) AS title_fields FROM dets d
 LEFT JOIN (SELECT page, count(*) AS n FROM dets WHERE kind = 'note' GROUP BY page) n ON n.page = d.page
 LEFT JOIN (SELECT page, count(*) AS n FROM gm GROUP BY page) m ON m.page = d.page
-LEFT JOIN (SELECT g.page, count(*) AS n FROM gt g JOIN tf ON tf.cell = g.ord % 40 GROUP BY g.page) t ON t.page = d.page GROUP BY d.page""")
+LEFT JOIN (SELECT g.page, count(*) AS n FROM gt g JOIN tf ON tf.cell = g.ord % (SELECT max(cell) + 1 FROM cells) GROUP BY g.page) t ON t.page = d.page GROUP BY d.page""")
 def block_counts(s: Source) -> DataFrame:
     cells = _title_cells(s)
     marks = regions.grid_cells(s.cvb, regions.upper_right(PAGE_W, PAGE_H), _ink())
