@@ -116,7 +116,9 @@ def integers(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
 def search(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score. Both sides: id, v. A shard's task reads its candidates once, then the queries one batch after another."""
     candidates, queries = cut(candidates, "candidates"), cut(queries.dropDuplicates(["id", "v"]), "queries")
-    shards = max(-(-candidates.count() // SHARD), candidates.sparkSession.sparkContext.defaultParallelism)
+    n = candidates.count()
+    spread = min(candidates.sparkSession.sparkContext.defaultParallelism, -(-n // BLOCK))  # few candidates still keep the cores busy
+    shards = max(-(-n // SHARD), spread, 1)
     own = candidates.select(F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "id", "v")
     asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("role"), "id", "v")
     ordered = own.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "role")
