@@ -7,7 +7,9 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,8 +85,15 @@ def arrow_type(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list]]], Iterator[tuple]], at_once: int = 4096) -> DataFrame:
-    """mapInArrow with a plain generator: rows() gets column batches as Python lists and yields output tuples."""
+def lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column of numbers, none null, as views of its values."""
+    values, ends = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[s:e] for s, e in pairwise((ends - ends[0]).tolist())]
+
+
+def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list]]], Iterator[tuple]], at_once: int = 4096, arrays: tuple[str, ...] = ()) -> DataFrame:
+    """mapInArrow with a plain generator: rows() gets column batches as Python lists and yields output tuples. arrays: columns of lists of
+    numbers, none null, whose lists come as NumPy arrays."""
     spark_schema = T.StructType.fromDDL(schema)
     names = spark_schema.names
 
@@ -95,7 +104,7 @@ def map_rows(df: DataFrame, schema: str, rows: Callable[[Iterator[dict[str, list
             for b in batches:
                 for s in range(0, b.num_rows, 512):
                     part = b.slice(s, 512)
-                    yield {n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
+                    yield {n: lists(part.column(i)) if n in arrays else part.column(i).to_pylist() for i, n in enumerate(part.schema.names)}
 
         held: list[tuple] = []
         for row in rows(columns()):

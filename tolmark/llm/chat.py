@@ -110,8 +110,8 @@ def format_chat(df: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK) -> Da
     """conv_id, chunk, first (offset of the chunk's first token), ids, starts and ends (offsets of the loss spans): conversations whole and in order within a partition."""
 
     def rows(batches: Iterator[dict]) -> Iterator[tuple]:
-        close = codec(path).encode(["\n"])[0]
-        key, number, first, parts, lengths, learnt = object(), 0, 0, [], [], []
+        start, close = np.array([START], np.int32), np.array([END, *codec(path).encode(["\n"])[0]], np.int32)
+        key, number, first, held, parts, lengths, learnt = object(), 0, 0, 0, [], [], []
 
         def made() -> tuple:
             ends = first + np.cumsum(lengths)  # of the segments, in tokens of the conversation
@@ -120,20 +120,21 @@ def format_chat(df: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK) -> Da
 
         for b in batches:
             for conv, loss, head, body in zip(b["conv_id"], b["loss"], b["head"], b["body"]):
-                if parts and (conv != key or sum(lengths) >= chunk):
+                if parts and (conv != key or held >= chunk):
                     yield made()
-                    number, first, parts, lengths, learnt = number + 1, first + sum(lengths), [], [], []
+                    number, first, held, parts, lengths, learnt = number + 1, first + held, 0, [], [], []
                 if conv != key:
                     key, number, first = conv, 0, 0
-                for ids, flag in (([START, *head], False), (body, loss), ([END, *close], False)):
-                    parts.append(np.asarray(ids, np.int32))
-                    lengths.append(len(ids))
-                    learnt.append(flag)
+                parts += [start, head, body, close]
+                own = [1 + len(head), len(body), len(close)]
+                lengths += own
+                learnt += [False, loss, False]
+                held += sum(own)
         if parts:
             yield made()
 
     ordered = segments(df, path).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "head", "body")
-    return map_rows(ordered, "conv_id long, chunk int, first long, ids array<int>, starts array<long>, ends array<long>", rows, at_once=16)
+    return map_rows(ordered, "conv_id long, chunk int, first long, ids array<int>, starts array<long>, ends array<long>", rows, at_once=16, arrays=("head", "body"))
 
 
 def read_back(formatted: DataFrame, path: str = VOCABULARY) -> DataFrame:
@@ -147,7 +148,6 @@ def read_back(formatted: DataFrame, path: str = VOCABULARY) -> DataFrame:
                     if state:
                         yield _digests(*state)
                     state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                ids = np.asarray(ids, np.int32)
                 opened, closed = np.flatnonzero(ids == START), np.flatnonzero(ids == END)
                 for s, e in zip(opened, closed):
                     role, _, body = c.text(ids[s + 1 : e]).partition("\n")
@@ -161,7 +161,7 @@ def read_back(formatted: DataFrame, path: str = VOCABULARY) -> DataFrame:
         if state:
             yield _digests(*state)
 
-    return map_rows(formatted, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", rows)
+    return map_rows(formatted, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", rows, arrays=("ids", "starts", "ends"))
 
 
 def _digests(conv: int | None, n: int, turns: "hashlib._Hash", chars: int, learnt: "hashlib._Hash", total: int) -> tuple:
