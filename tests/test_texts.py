@@ -62,6 +62,16 @@ def test_workbook(spark, tmp_path):
     assert [x.label for x in sheets["Notes"].collect()] == ["101", "101.1", "101.2", "102"]
     report.write_workbook(sheets, str(tmp_path))
     assert spark.read.option("header", True).csv(f"{tmp_path}/Notes").count() == 4
-    rows = spark.createDataFrame([(1, 5, "gdt", 9)], "page long, ord long, kind string, conf int")
-    made = json.loads(report.payload(rows, spark.createDataFrame([], "page long, ord int, pos int, text_en string, text_de string")).first().payload)
-    assert made["notes"] is None and made["characteristics"][0]["kind"] == "gdt"
+    lines = [tuple(x) for x in spark.read.csv(f"{tmp_path}/Inspection").fillna("").collect()]
+    assert lines == [*report.INSPECTION_HEADER, ("1", "Radius", "2", "", ""), ("2", "Distance", "1", "", "")]
+
+
+def test_payload(spark):
+    chars = spark.createDataFrame([(1, 5, "gdt", 9), (2, 1, None, None)], "page long, ord long, kind string, conf int")
+    notes = spark.createDataFrame([(2, 1, 102, "b", None), (2, 0, 101, "a", "x")], "page long, ord int, pos int, text_en string, text_de string")
+    title = spark.createDataFrame([(2, 4, "A / B", "A", "B", "1:2")], "page long, ord long, label string, label_en string, label_de string, value string")
+    made = {x.page: json.loads(x.payload) for x in report.payload(chars, notes, notes.where("pos = 101"), title).collect()}
+    assert made[1] == {"characteristics": [{"ord": 5, "kind": "gdt", "conf": 9}], "notes": None, "marks": None, "title_fields": []}
+    first, second = {"ord": 0, "pos": 101, "text_en": "a", "text_de": "x"}, {"ord": 1, "pos": 102, "text_en": "b", "text_de": None}
+    fields = [{"ord": 4, "label": "A / B", "label_en": "A", "label_de": "B", "value": "1:2"}]
+    assert made[2] == {"characteristics": [{"ord": 1, "kind": None, "conf": None}], "notes": [first, second], "marks": [first], "title_fields": fields}

@@ -111,10 +111,26 @@ def workbook(chars: DataFrame, notes: DataFrame | None = None, marks: DataFrame
     return out
 
 
+# The two header rows of the inspection sheet, German above English.
+INSPECTION_HEADER = (
+    ("Pos.", "Merkmal", "Nennmaß", "O-TOL", "U-TOL"),
+    ("Pos.", "Characteristic", "Nominal value", "Upper-tol", "Lower-tol"),
+)
+
+
+def headed(inspection: DataFrame) -> DataFrame:
+    """The inspection sheet as text, with its header rows on top: line (1, 2, then 3 for all rows), pos (null in headers) and the columns c0 to c4."""
+    spark, names = inspection.sparkSession, SHEETS["Inspection"]
+    top = spark.createDataFrame([(k, None, *row) for k, row in enumerate(INSPECTION_HEADER, 1)], "line int, pos long, " + ", ".join(f"c{k} string" for k in range(len(names))))
+    return top.unionByName(inspection.select(F.lit(3).alias("line"), F.col("pos").cast("long").alias("pos"), *(F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(names))))
+
+
 def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """A folder for each sheet, as CSV with a header."""
+    """A folder for each sheet, as CSV: the inspection sheet below its two header rows, by pos, the others below their columns' names. A workbook is one drawing's, so a sheet is one file."""
     for name, frame in sheets.items():
-        frame.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name.replace(' ', '_')}")
+        plain = name != "Inspection"
+        one = frame.coalesce(1) if plain else headed(frame).repartition(1).sortWithinPartitions("line", "pos").drop("line", "pos")
+        one.write.mode("overwrite").option("header", plain).csv(f"{path}/{name.replace(' ', '_')}")
 
 
 def summary(chars: DataFrame, duplicates: DataFrame) -> DataFrame:
@@ -123,8 +139,16 @@ def summary(chars: DataFrame, duplicates: DataFrame) -> DataFrame:
     return counted.join(duplicates.groupBy("page").agg(F.count("*").alias("duplicates")), "page", "left").fillna(0, ["duplicates"])
 
 
-def payload(chars: DataFrame, notes: DataFrame) -> DataFrame:
-    """page and its rows as one JSON text; notes are null where there are none."""
-    rows = chars.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "conf"))).alias("characteristics"))
-    held = notes.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("ord", "pos", "text_en", "text_de"))).alias("notes"))
-    return rows.join(held, "page", "left").select("page", F.to_json(F.struct("characteristics", "notes"), {"ignoreNullFields": "false"}).alias("payload"))
+def payload(chars: DataFrame, notes: DataFrame, marks: DataFrame, title: DataFrame) -> DataFrame:
+    """page and its four relations as one JSON text, each in order of ord: notes and marks are null where a page has none, title fields an empty list.
+    Null fields are kept. A page is one drawing, so its lists are collected."""
+
+    def listed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
+        return rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    both = listed(chars, "characteristics", "ord", "kind", "conf")
+    for rows, name in ((notes, "notes"), (marks, "marks")):
+        both = both.join(listed(rows, name, "ord", "pos", "text_en", "text_de"), "page", "left")
+    fields = listed(title, "title_fields", "ord", "label", "label_en", "label_de", "value")
+    both = both.join(fields, "page", "left").withColumn("title_fields", F.coalesce("title_fields", F.array().cast(fields.schema["title_fields"].dataType)))
+    return both.select("page", F.to_json(F.struct("characteristics", "notes", "marks", "title_fields"), {"ignoreNullFields": "false"}).alias("payload"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tolmark.operators import regions
+from tolmark.operators import regions, report, transcripts
 from tolmark.plans.boxes import AREA_A, AREA_B, INTER, _fold
 from tolmark.plans.registry import Source, query
-from tolmark.plans.texts import ISLANDS, LINES, TITLES, _legend_lines
+from tolmark.plans.texts import ISLANDS, LINES, NOTES, TITLES, _legend_lines, noted
 
 #: The page that regions are looked for on.
 PAGE_W, PAGE_H = 200, 110
@@ -164,3 +164,21 @@ SELECT page, seq, CASE seq WHEN 1 THEN 'render' WHEN 2 THEN 'notes' WHEN 3 THEN
   CASE WHEN seq BETWEEN 5 AND n + 5 THEN seq - 5 END AS current, CASE WHEN seq BETWEEN 5 AND n + 5 THEN n END AS total FROM numbered""")
 def progress_steps(s: Source) -> DataFrame:
     return regions.progress(s.dets, s.dets.where("kind = 'gdt'"))
+
+
+def _rows(relation: str, columns: str) -> str:
+    packed = ", ".join(f"'{c}': {c}" for c in columns.split())
+    return f"SELECT page, list({{{packed}}} ORDER BY {', '.join(columns.split())}) AS held FROM {relation} GROUP BY page"
+
+
+@query(REGIONS + TITLES + NOTES + f""",
+mk AS (SELECT block AS page, ord, pos, en AS text_en, de AS text_de FROM legend WHERE sub IS NULL),
+fl AS (SELECT g.page, g.ord, label, label_en, label_de, value FROM gt g JOIN tf ON tf.cell = g.ord % (SELECT max(cell) + 1 FROM cells))
+SELECT c.page, to_json({{'characteristics': c.held, 'notes': n.held, 'marks': m.held, 'title_fields': coalesce(t.held, [])}})::VARCHAR AS payload
+FROM ({_rows("dets", "ord kind conf")}) c LEFT JOIN ({_rows("nt", "ord pos text_en text_de")}) n ON n.page = c.page
+LEFT JOIN ({_rows("mk", "ord pos text_en text_de")}) m ON m.page = c.page LEFT JOIN ({_rows("fl", "ord label label_en label_de value")}) t ON t.page = c.page""")
+def result_payload(s: Source) -> DataFrame:
+    """All four relations of a page as one JSON text."""
+    cells = _title_cells(s)
+    marks = transcripts.marks(s.legend).select(F.col("block").alias("page"), "ord", "pos", F.col("en").alias("text_en"), F.col("de").alias("text_de"))
+    return report.payload(s.dets, noted(s), marks, regions.title_fields(cells, _reads(s, cells)))

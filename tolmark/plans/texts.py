@@ -261,9 +261,3 @@ SELECT cell, length(raw) AS chars, CASE WHEN raw = '' THEN 0 ELSE len(string_spl
 def raw_summaries(s: Source) -> DataFrame:
     made = report.raw_summary(F.col("raw"))
     return s.cells.select("cell", made["chars"].cast("long").alias("chars"), made["lines"].alias("lines"), made["has_tab"].alias("has_tab"), report.read_sample(F.col("raw")).alias("sample"))
-
-
-@query()
-def result_payload(s: Source) -> DataFrame:
-    """All relations of a page as one JSON text."""
-    return report.payload(s.dets, noted(s))
