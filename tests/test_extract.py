@@ -33,6 +33,25 @@ def test_extract(spark):
     assert {x.page: x.characteristics for x in extract.summary(extract.extract(tiles, images, boxes, notes, model)).collect()} == {1: 2, 2: 2}
 
 
+class Turned(provider.Stub):
+    """Reads a page's image followed by the degrees it was turned by."""
+
+    def read_region(self, image):
+        return provider.Read(*{b"a-90": ("Ø7 +0,1 -0,1", 0.5), b"a90": ("rubbish", 0.9), b"b-90": ("5", 0.8), b"b90": ("6", 0.9), b"c": ("8", 0.9)}[bytes(image)])
+
+
+def test_upright_boxes(spark):
+    rows = [(1, 0, "dimension", 0, 0, 10, 40, bytearray(b"a")), (1, 1, "dimension", 0, 0, 10, 14, bytearray(b"b")), (1, 2, "dimension", 0, 0, 10, 13, bytearray(b"c")), (1, 3, None, 0, 0, 10, 40, bytearray(b"unknown")), (1, 4, "gdt", 0, 0, 10, 40, bytearray(b"b")), (1, 5, "note", 0, 0, 10, 13, None)]
+    boxes = spark.createDataFrame(rows, "page long, ord long, kind string, x0 int, y0 int, x1 int, y1 int, image binary")
+    found = extract.best_reads(boxes, Turned, provider.whole, lambda image, degrees: bytes(image) + str(degrees).encode())
+    got = {x.ord: (x.text, x.rotated) for x in found.collect()}
+    assert got == {0: ("Ø7 +0,1 -0,1", False), 1: ("6", True), 2: ("8", False), 3: ("", False), 4: ("6", True), 5: ("", False)}
+    assert extract.best_reads(boxes.limit(0), Turned, provider.whole, lambda image, degrees: image).count() == 0
+    notes = spark.createDataFrame([], "page long, pos int, sub int")
+    flagged = {x.ord: x.review_reasons for x in extract.characteristics(found, notes).where("ord < 3").collect()}
+    assert flagged == {0: ["low OCR confidence"], 1: ["rotation ambiguity"], 2: []}
+
+
 def test_manual(spark):
     rows = spark.createDataFrame([(1, 0, -5, 3, 40, 5000, bytearray(b"p1")), (1, 1, 9, 9, 9, 20, bytearray(b"p1")), (1, 2, 0, 0, 5, 5, bytearray(b"unknown"))], "page long, ord long, x0 int, y0 int, x1 int, y1 int, image binary")
     got = {x.ord: x for x in extract.manual(rows, model, 100, 200).collect()}

@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tolmark.functions import geometry as G
 from tolmark.functions import tolerance
 from tolmark.operators import cluster, order, pairs, report, review, suppress
 from tolmark.sources import provider
@@ -26,20 +27,29 @@ def notes_region(found: DataFrame, cv_boxes: DataFrame, page_w: int, page_h: int
     return pairs.snap(cluster.note_cluster(found).withColumn("ord", F.lit(0).cast("long")), cv_boxes, page_w, page_h).drop("ord")
 
 
+def best_reads(boxes: DataFrame, factory: Callable[[], Any], crop: Callable, turned: Callable[[bytes, int], bytes]) -> DataFrame:
+    """page, ord, kind, box, text, confidence, rotated: the better of an upright box's two reads, and whether the other comes close."""
+    reads = provider.read_boxes(boxes, factory, crop, turned).withColumns(tolerance.parse(F.col("text"), F.lit("")))
+    best = report.best_read(reads.withColumn("box", F.struct("page", "ord", "kind", *G.SIDES)), "box", F.lit(True))
+    return best.select("box.*", "text", "confidence", F.col("ambiguous").alias("rotated"))
+
+
 def characteristics(read: DataFrame, notes: DataFrame, dpi: int = 300) -> DataFrame:
-    """read: page, ord, kind, box, text, confidence. Parsed, retagged, flagged, numbered in reading order and placed."""
+    """read: page, ord, kind, box, text, confidence, and rotated if known. Parsed, retagged, flagged, numbered in reading order and placed."""
+    rotated = F.col("rotated") if "rotated" in read.columns else F.lit(False)
     rows = read.withColumn("raw_text", F.col("text")).withColumns(tolerance.parse(F.col("text"), tolerance.hint_of(F.col("kind"))))
     rows = rows.withColumn("note_ref_pos", tolerance.note_reference(F.col("text"), F.col("kind")))
-    rows = rows.withColumn("subtype", F.when(F.col("note_ref_pos").isNotNull(), "note_ref").when(F.col("kind").isin("gdt", "theoretical"), F.col("kind")).otherwise("")).withColumn("rotated", F.lit(False))
+    rows = rows.withColumn("subtype", F.when(F.col("note_ref_pos").isNotNull(), "note_ref").when(F.col("kind").isin("gdt", "theoretical"), F.col("kind")).otherwise("")).withColumn("rotated", rotated)
     flagged = review.characteristics(rows, notes)
     placed = order.placement(read, dpi=dpi).select("page", "ord", "balloon_x", "balloon_y")
     return flagged.join(order.reading_order(read), ["page", "ord"]).join(placed, ["page", "ord"]).withColumn("source", F.lit("auto"))
 
 
-def extract(tiles: DataFrame, images: DataFrame, cv_boxes: DataFrame, notes: DataFrame, factory: Callable[[], Any], crop: Callable = provider.whole, dpi: int = 300) -> DataFrame:
-    """tiles: page, tile, x0, y0, image. images: page, image. notes: page, pos, sub of the legends already read."""
-    found = detected(tiles, cv_boxes, factory)
-    return characteristics(provider.read_boxes(found.join(images, "page"), factory, crop), notes, dpi)
+def extract(tiles: DataFrame, images: DataFrame, cv_boxes: DataFrame, notes: DataFrame, factory: Callable[[], Any], crop: Callable = provider.whole, dpi: int = 300, turned: Callable[[bytes, int], bytes] | None = None) -> DataFrame:
+    """tiles: page, tile, x0, y0, image. images: page, image. notes: page, pos, sub of the legends already read. turned: see provider.read_boxes."""
+    found = detected(tiles, cv_boxes, factory).join(images, "page")
+    read = best_reads(found, factory, crop, turned) if turned is not None else provider.read_boxes(found, factory, crop)
+    return characteristics(read, notes, dpi)
 
 
 def manual(regions: DataFrame, factory: Callable[[], Any], page_w: int, page_h: int, dpi: int = 300, crop: Callable = provider.whole) -> DataFrame:
@@ -55,8 +65,6 @@ def gold_matches(found: DataFrame, gold: DataFrame, least: float = 0.3) -> DataF
 
     Both: page, ord, box, nominal. A page's pairs are folded in order of score; a pair stays if neither side is taken.
     """
-    from tolmark.functions import geometry as G
-
     near = pairs.overlap_join(found, gold).withColumn("iou", G.iou("a_", "b_")).where(F.col("iou") >= least)
     scored = near.withColumn("score", F.bround(F.col("iou") + F.when(F.col("a_nominal") == F.col("b_nominal"), 1.0).otherwise(0.0), 6))
     pair = F.struct((-F.col("score")).alias("s"), F.col("a_ord").alias("ord"), F.col("b_ord").alias("gold"))

@@ -154,22 +154,42 @@ def whole(image: bytes, box: tuple[int, int, int, int]) -> bytes:
     return image
 
 
-def read_boxes(boxes: DataFrame, factory: Callable[[], Any], crop: Callable[[bytes, tuple[int, int, int, int]], bytes] = whole) -> DataFrame:
-    """boxes: page, ord, kind, x0, y0, x1, y1, image. The same without the image, with text and confidence; geometric frames by their own reader."""
+def read_boxes(
+    boxes: DataFrame,
+    factory: Callable[[], Any],
+    crop: Callable[[bytes, tuple[int, int, int, int]], bytes] = whole,
+    turned: Callable[[bytes, int], bytes] | None = None,
+) -> DataFrame:
+    """boxes: page, ord, kind, x0, y0, x1, y1, image. The same without the image, with text and confidence; geometric frames by their own reader.
+
+    With turned (a crop and degrees to a crop), upright boxes (see order.vertical) but for such frames are read turned to the right
+    and to the left, as candidates 0 and 1; other boxes have candidate 0 alone.
+    """
     name = _name(factory)
 
+    def ways(provider: Any, kind: str | None, box: tuple[int, int, int, int]) -> tuple[str, tuple[int, ...]]:
+        if kind == "gdt" and hasattr(provider, "read_region_gdt"):
+            return "read_region_gdt", (0,)
+        upright = turned is not None and None not in box and (box[3] - box[1]) * 10 > (box[2] - box[0]) * 13
+        return "read_region", (-90, 90) if upright else (0,)
+
+    def one(reader: Callable[[bytes], Read], image: bytes, box: tuple[int, int, int, int], degrees: int) -> Read:
+        try:
+            part = crop(image, box)
+            return safe_read(reader, turned(part, degrees) if degrees else part)
+        except Exception:  # noqa: BLE001  as with a read that fails
+            return Read("", 0.0)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = _once(name, factory)
         for b in batches:
-            rows = []
-            for image, kind, *box in b[["image", "kind", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None):
-                try:
-                    part = crop(image, tuple(box))
-                except Exception:  # noqa: BLE001  as with a read that fails
-                    rows.append(Read("", 0.0))
-                    continue
-                rows.append(safe_read(capability(provider, "read_region_gdt" if kind == "gdt" else "read_region"), part))
-            yield b.drop(columns="image").assign(text=[r.text for r in rows], confidence=[float(r.confidence) for r in rows])
+            at, rows = [], []
+            for k, (image, kind, *sides) in enumerate(b[["image", "kind", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)):
+                how, turns = ways(provider, kind, tuple(sides))
+                at += [k] * len(turns)
+                rows += [(c, one(capability(provider, how), image, tuple(sides), d)) for c, d in enumerate(turns)]
+            yield b.drop(columns="image").iloc[at].assign(text=[r.text for _, r in rows], confidence=[float(r.confidence) for _, r in rows], candidate=[c for c, _ in rows])
 
     own = boxes.select("page", "ord", "kind", "x0", "y0", "x1", "y1", "image")
-    return own.mapInPandas(run, "page long, ord long, kind string, x0 int, y0 int, x1 int, y1 int, text string, confidence double")
+    read = own.mapInPandas(run, "page long, ord long, kind string, x0 int, y0 int, x1 int, y1 int, text string, confidence double, candidate int")
+    return read if turned is not None else read.drop("candidate")
